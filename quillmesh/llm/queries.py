@@ -6,9 +6,11 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillmesh.llm import site_style_tree, toxicity
 from quillmesh.llm.bpe import bpe_encode_decode
-from quillmesh.llm.common import table
+from quillmesh.llm.common import held_out, table
 from quillmesh.llm.quality_rules import quality_rules
 
 #: Folder of the public tokenizer files.
@@ -21,16 +23,28 @@ def tokenizer_spec(path: str | None = None) -> str:
         return f.read()
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode_decode(table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"))
+    return toxicity.classify(documents, model).select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_style_tree": op1_site_style_tree,
     "op3_bpe": op3_bpe,
+    "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
 }
 
