@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +18,23 @@ BLANK_RUN = r"[ \t\n\x0B\f\r]+"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per context, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillmesh_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(prefix="quillmesh-"), "quillmesh_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(target)
+    sc._quillmesh_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark whatever the store is."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import language_id, line_dedup, mixing, site_style_tree, toxicity
+from quillmesh.llm import language_id, line_dedup, minhash_forest, mixing, site_style_tree, toxicity
 from quillmesh.llm.bpe import bpe_encode_decode
 from quillmesh.llm.common import held_out, table
 from quillmesh.llm.quality_rules import quality_rules
@@ -27,6 +27,10 @@ def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_style_tree.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode_decode(table(spark, sf_dir, "documents"), tokenizer_spec())
 
@@ -58,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_style_tree": op1_site_style_tree,
+    "op2_minhash_forest": op2_minhash_forest,
     "op3_bpe": op3_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
