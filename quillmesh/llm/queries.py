@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import language_id, line_dedup, minhash_forest, mixing, site_style_tree, toxicity
+from quillmesh.llm import language_id, line_dedup, minhash_forest, mixing, rp_forest, site_style_tree, toxicity
 from quillmesh.llm.bpe import bpe_encode_decode
 from quillmesh.llm.common import held_out, table
 from quillmesh.llm.quality_rules import quality_rules
@@ -35,6 +35,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode_decode(table(spark, sf_dir, "documents"), tokenizer_spec())
 
 
+def op4_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = toxicity.train(documents, table(spark, sf_dir, "labels"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_style_tree": op1_site_style_tree,
     "op2_minhash_forest": op2_minhash_forest,
     "op3_bpe": op3_bpe,
+    "op4_rp_forest": op4_rp_forest,
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
