@@ -76,9 +76,9 @@ def _signatures(df: DataFrame) -> DataFrame:
                     signs.append(None)
                     sketches.append(None)
             columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signs, pa.binary()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n", "node", "sign", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "t", "n", "node", "sign", "sketch"])
 
-    return df.select("id", "text").mapInArrow(run, f"id {id_type}, n long, node long, sign binary, sketch binary")
+    return df.select("id", "text", "t").mapInArrow(run, f"id {id_type}, t long, n long, node long, sign binary, sketch binary")
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -156,8 +156,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable) and kept."""
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """Per row: id, n_shingles, component_id (smallest id reachable) and kept.
+
+    ``group`` tells the component by content (null without words) and ``t`` is the text's hash,
+    for callers whose ids repeat.
+    """
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     signed = materialize(_signatures(docs), "signatures")
     first = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     nodes = signed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "sign", "sketch")
@@ -176,6 +180,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         roots = connected_components(sure.unionAll(more))
     rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    component = rooted.select("node", "root").join(smallest, "root").select("node", "component_id")
-    out = signed.select("id", "n", "node").join(component, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    component = rooted.select("node", "root").join(smallest, "root").select("node", "root", "component_id")
+    out = signed.select("id", "t", "n", "node").join(component, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("root").alias("group"), "t")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay: of each group the one with the smallest id, and all without words."""
+    found = near_duplicates(df, id_col, text_col)
+    chosen = found.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("i"), F.col("t"))).alias("x"))
+    stay = chosen.select(F.col("x.i").alias("__i"), F.col("x.t").alias("__t")).distinct()
+    empty = found.where("group IS NULL").select(F.col(id_col).alias("__i"), F.col("t").alias("__t")).distinct()
+    keyed = df.withColumns({"__id": F.col(id_col), "__h": F.xxhash64(text_col)})
+    on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__t"))
+    twin = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(1)))
+    return keyed.join(stay.unionAll(empty), on, "left_semi").withColumn("__twin", twin).where("__twin = 1").select(*df.columns)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import language_id, line_dedup, minhash_forest, mixing, rp_forest, site_style_tree, toxicity
+from quillmesh.llm import language_id, line_dedup, minhash_forest, mixing, rp_forest, site_style_tree, suffix_dedup, toxicity
 from quillmesh.llm.bpe import bpe_encode_decode
 from quillmesh.llm.common import held_out, table
 from quillmesh.llm.quality_rules import quality_rules
@@ -28,7 +28,7 @@ def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents")).drop("group", "t")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -234,3 +234,11 @@ def _scored(df: DataFrame, model: Model | None, keep_text: bool = False) -> Data
             yield pa.RecordBatch.from_arrays([*[batch.column(p) for p in places], pa.array(values, pa.float64())], [*names, "score"])
 
     return df.mapInArrow(run, f"{types}, score double").toDF(*columns, "score")
+
+
+def keep_clean(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``documents`` whose text is not predicted toxic, columns unchanged."""
+    names = documents.columns
+    numbered = documents.toDF(*["text" if c == "text" else f"k{k}" for k, c in enumerate(names)])
+    scored = _scored(numbered, model, keep_text=True)
+    return scored.where(F.col("score") < THRESHOLD).drop("score").toDF(*names)
