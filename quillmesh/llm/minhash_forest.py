@@ -135,24 +135,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame
             for lo in range(0, batch.num_rows, 256):
                 sets = [shingle_set(t, SHINGLE) for t in batch.column(1).slice(lo, 256).to_pylist()]
                 keys = [int(mix(s * _A[0] + _B[1]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+                values = np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
 
-    sets = texts.mapInArrow(run, "node long, shingles binary").where("node IS NOT NULL")
+    sets = texts.mapInArrow(run, "node long, shingles array<long>").where("node IS NOT NULL")
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= SIMILARITY * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(compare, "a long, b long").distinct()
+    # Compared inside the JVM row by row: batches of two whole sets a row would cost memory.
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    shared = joined.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), (F.size("sa") + F.size("sb")).alias("both"))
+    return shared.where(100 * F.col("shared") >= SIMILARITY * (F.col("both") - F.col("shared"))).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
