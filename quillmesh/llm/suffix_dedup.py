@@ -9,8 +9,8 @@ the subtree's nodes at depth ``WINDOW`` are told by the suffix's fingerprint; a
 suffixes or more is a repeat, and runs of such suffixes join into the maximal repeated span.
 
 Texts are one node of the input whatever the number of their copies: a text with copies repeats
-as a whole, and copies add nothing to the groups.  No group is ever gathered: frequent prefixes
-are read in a stream.
+as a whole, and copies add nothing to the groups.  No large group is ever gathered: below a
+frequent prefix the prefix is the whole window, so that its node is an aggregate, not a list.
 
 Nulls and edges: null text has no words; a text of fewer than ``WINDOW`` words keeps all;
 overlapping repeats inside one text count, as each starts elsewhere; null and repeated ids are
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import materialize
@@ -55,87 +55,67 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per text its distinct anchor phrases, each with the number of places where it anchors."""
     for batch in batches:
-        keys, places, phrases = [], [], []
+        keys, phrases, runs = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             at, all_phrases = _anchors(_hashes(text))
-            at = np.unique(at)
-            keys.append(np.full(len(at), key, dtype=np.int64))
-            places.append(at.astype(np.int32))
-            phrases.append(_signed(all_phrases[at]))
+            own, times = np.unique(all_phrases[np.unique(at)], return_counts=True)
+            keys.append(np.full(len(own), key, dtype=np.int64))
+            phrases.append(_signed(own))
+            runs.append(times.astype(np.int32))
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, places, phrases)], ["t", "at", "phrase"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, phrases, runs)], ["t", "phrase", "runs"])
+
+
+#: Kinds of suffix rows: a run of suffixes below one phrase; a single suffix below its whole
+#: window; a span that repeats inside its own text.
+RUN, SINGLE, SURE = 0, 1, 2
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of suffixes by prefix: prefix, text, first position and the fingerprints (8 bytes each)."""
+    """Suffixes by prefix: kind, prefix, text, first position, end of a span, fingerprints (8 bytes each)."""
+    rows: list[tuple] = []
     for batch in batches:
-        prefix: list[int] = []
-        texts: list[int] = []
-        first: list[int] = []
-        prints: list[bytes] = []
         for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = _hashes(text)
             at, phrases = _anchors(words)
-            labels = grams(words, WINDOW)
-            inner = found.values
-            wanted = inner.field("at").to_numpy()
-            crowded = dict(zip(wanted.tolist(), inner.field("crowded").to_pylist(), strict=True))
-            serves = np.isin(at, wanted)
-            starts = np.flatnonzero(serves & np.append(True, (at[1:] != at[:-1]) | ~serves[:-1]))
-            stops = np.flatnonzero(serves & np.append((at[1:] != at[:-1]) | ~serves[1:], True)) + 1
-            keys = _signed(phrases)
-            for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True):
-                if crowded[int(at[lo])]:
-                    part = _signed(labels[lo:hi]).tolist()
-                    prefix += part
-                    texts += [key] * len(part)
-                    first += range(lo, hi)
-                    prints += [b""] * len(part)
-                else:
-                    prefix.append(int(keys[at[lo]]))
-                    texts.append(key)
-                    first.append(lo)
-                    prints.append(labels[lo:hi].tobytes())
-            if len(prints) > 20_000:
-                yield _suffix_batch(prefix, texts, first, prints)
-                prefix, texts, first, prints = [], [], [], []
-        if prints:
-            yield _suffix_batch(prefix, texts, first, prints)
-
-
-def _suffix_batch(prefix: list[int], texts: list[int], first: list[int], prints: list[bytes]) -> pa.RecordBatch:
-    columns = [pa.array(prefix, pa.int64()), pa.array(texts, pa.int64()), pa.array(first, pa.int32()), pa.array(prints, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["prefix", "t", "first", "prints"])
-
-
-def _spans(prefix: np.ndarray, text: np.ndarray, first: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
-    """Repeated spans [lo, hi) of whole groups of suffix runs."""
-    sizes = np.array([max(1, len(p) // 8) for p in prints], dtype=np.int64)
-    run = np.repeat(np.arange(len(prints)), sizes)
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    labels = np.empty(len(run), dtype=np.int64)
-    whole = np.repeat(np.array([not p for p in prints]), sizes)
-    labels[whole] = prefix[run[whole]]  # a whole window is its own label
-    labels[~whole] = np.frombuffer(b"".join(prints), dtype=np.int64)
-    # A node is a label within its prefix; the label alone tells it, as it fixes the prefix.
-    order = np.argsort(labels, kind="stable")
-    new = np.append(True, labels[order][1:] != labels[order][:-1])
-    count = np.diff(np.append(np.flatnonzero(new), len(order)))
-    repeated = np.empty(len(order), dtype=bool)
-    repeated[order] = np.repeat(count > 1, count)
-    run, place = run[repeated], (first[run] + offset)[repeated]
-    if not len(run):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32())], ["t", "lo", "hi"])
-    begins = np.append(True, (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1))
-    ends = np.append(begins[1:], True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(text[run[begins]]), pa.array(place[begins].astype(np.int32)), pa.array((place[ends] + WINDOW).astype(np.int32))], ["t", "lo", "hi"]
-    )
+            labels = _signed(grams(words, WINDOW))
+            of = _signed(phrases)[at]
+            wanted, crowded = found.values.field("phrase").to_numpy(), found.values.field("crowded").to_numpy(zero_copy_only=False)
+            serves = np.isin(of, wanted)
+            full = np.isin(of, wanted[crowded])
+            run = serves & ~full
+            moves = at[1:] != at[:-1]
+            starts = np.flatnonzero(run & np.append(True, moves | ~run[:-1]))
+            stops = np.flatnonzero(run & np.append(moves | ~run[1:], True)) + 1
+            rows += [(RUN, int(of[lo]), key, lo, 0, labels[lo:hi].tobytes()) for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True)]
+            place = np.flatnonzero(full)
+            if len(place):
+                own, first, back, times = np.unique(labels[place], return_index=True, return_inverse=True, return_counts=True)
+                rows += [(SINGLE, x, key, k, 0, b"") for x, k in zip(own.tolist(), place[first].tolist(), strict=True)]
+                again = place[times[back] > 1]
+                if len(again):
+                    cut = np.flatnonzero(np.append(True, again[1:] != again[:-1] + 1))
+                    ends = again[np.append(cut[1:], len(again)) - 1] + WINDOW
+                    rows += [(SURE, 0, key, lo, hi, b"") for lo, hi in zip(again[cut].tolist(), ends.tolist(), strict=True)]
+            if len(rows) > 20_000:
+                yield _suffix_batch(rows)
+                rows = []
+    if rows:
+        yield _suffix_batch(rows)
+
+
+def _suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "prefix", "t", "first", "stop", "prints"])
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches come sorted by prefix; the last group of a batch waits for the next one."""
+    """Repeated spans below the phrases of a partition; the rows come sorted by prefix.
+
+    The last group of a batch waits for the next batch; a group has about CROWD runs at most.
+    """
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -145,17 +125,30 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefix = table.column("prefix").to_numpy()
         cut = int(np.searchsorted(prefix, prefix[-1]))
         held = table.slice(cut)
-        if held.num_rows > 1 and not held.column("prints")[0].as_py():
-            # A whole window seen twice is a repeat at once: pass it on and keep one row as its witness.
-            cut, held = table.num_rows, held.slice(0, 1)
         if cut:
-            yield _tree_batch(table.slice(0, cut))
+            yield _nodes(table.slice(0, cut))
     if held is not None:
-        yield _tree_batch(held)
+        yield _nodes(held)
 
 
-def _tree_batch(table: pa.Table) -> pa.RecordBatch:
-    return _spans(*(table.column(k).to_numpy() for k in ("prefix", "t", "first")), table.column("prints").to_pylist())
+def _nodes(table: pa.Table) -> pa.RecordBatch:
+    """Spans [lo, hi) under the nodes of depth WINDOW that hold two suffixes or more."""
+    text, first = table.column("t").to_numpy(), table.column("first").to_numpy()
+    prints = table.column("prints").to_pylist()
+    sizes = np.array([len(p) // 8 for p in prints], dtype=np.int64)
+    run = np.repeat(np.arange(len(prints)), sizes)
+    offset = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    labels = np.frombuffer(b"".join(prints), dtype=np.int64)
+    order = np.argsort(labels, kind="stable")  # the label fixes the prefix, so it alone tells the node
+    new = np.append(True, labels[order][1:] != labels[order][:-1])
+    count = np.diff(np.append(np.flatnonzero(new), len(order)))
+    repeated = np.empty(len(order), dtype=bool)
+    repeated[order] = np.repeat(count > 1, count)
+    run, place = run[repeated], (first[run] + offset)[repeated]
+    begins = np.append(True, (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)) if len(run) else np.empty(0, dtype=bool)
+    ends = np.append(begins[1:], True) if len(run) else begins
+    columns = [pa.array(text[run[begins]]), pa.array(place[begins].astype(np.int32)), pa.array((place[ends] + WINDOW).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["t", "lo", "hi"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +187,21 @@ def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
 
     ``docs`` has id, t (hash of the text) and text; ``copies`` has t and the id of one row with it.
     """
-    anchors = docs.where("text IS NOT NULL").select("t", "text").mapInArrow(_find_anchors, "t long, at int, phrase long")
-    same = Window.partitionBy("phrase")
-    spread = (F.min("t").over(same) != F.max("t").over(same)) | (F.min("at").over(same) != F.max("at").over(same))
-    anchors = anchors.withColumns({"spread": spread, "crowded": F.count("*").over(same) > CROWD}).where("spread").select("t", "at", "phrase", "crowded").distinct()
-    wanted = anchors.groupBy("t").agg(F.collect_list(F.struct("at", "crowded")).alias("found")).join(copies, "t")
+    anchors = docs.where("text IS NOT NULL").select("t", "text").mapInArrow(_find_anchors, "t long, phrase long, runs int")
+    # Sums before the shuffle and a join that Spark can split: a phrase of very many texts is no task of its own.
+    phrases = anchors.groupBy("phrase").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("runs").alias("most"), F.sum("runs").alias("all"))
+    shared = phrases.where("a <> b OR most > 1").select("phrase", (F.col("all") > CROWD).alias("crowded"))
+    wanted = anchors.select("t", "phrase").join(shared, "phrase").groupBy("t").agg(F.collect_set(F.struct("phrase", "crowded")).alias("found")).join(copies, "t")
     wanted = wanted.select("found", F.col("t").alias("t2"), F.col("id").alias("id2"))
     texts = docs.join(wanted, (F.col("t") == F.col("t2")) & F.col("id").eqNullSafe(F.col("id2"))).select("t", "text", "found")
-    runs = texts.mapInArrow(_suffixes, "prefix long, t long, first int, prints binary")
-    spans = runs.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees, "t long, lo int, hi int")
-    return spans.distinct().groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    suffixes = materialize(texts.mapInArrow(_suffixes, "kind int, prefix long, t long, first int, stop int, prints binary"), "suffixes")
+    runs = suffixes.where(F.col("kind") == RUN).select("prefix", "t", "first", "prints").repartition("prefix").sortWithinPartitions("prefix")
+    below = runs.mapInArrow(_trees, "t long, lo int, hi int")
+    single = suffixes.where(F.col("kind") == SINGLE).select("prefix", "t", "first")
+    nodes = single.groupBy("prefix").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("prefix")
+    whole = single.join(nodes, "prefix").select("t", F.col("first").alias("lo"), (F.col("first") + WINDOW).alias("hi"))
+    sure = suffixes.where(F.col("kind") == SURE).select("t", F.col("first").alias("lo"), F.col("stop").alias("hi"))
+    return below.unionAll(whole).unionAll(sure).groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
