@@ -61,3 +61,10 @@ def metapath(steps: list[DataFrame], features: DataFrame, width: int) -> DataFra
     for edges in reversed(steps):
         out = propagate(edges, out, width)
     return out
+
+
+def missing_texts(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, uri) of the nodes without a text, or with a blank one only."""
+    from quillmesh.functions.text import has_text
+
+    return nodes.select("id", "uri").join(texts.where(has_text(F.col("text"))).select("uri"), "uri", "left_anti").select("id", "uri")

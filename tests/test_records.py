@@ -164,3 +164,34 @@ def test_stream(spark, tmp_path):
 def test_encode_rows(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "id long, t string")
     assert {r.id: any(r.vec) for r in encode(df, "id", "t").collect()} == {1: True, 2: False}
+
+
+def test_missing_texts_and_reports(spark):
+    from quillmesh.operators.propagate import missing_texts
+    from quillmesh.plans import report
+
+    nodes = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "id long, uri string")
+    texts = spark.createDataFrame([("a", "x"), ("b", " \t")], "uri string, text string")
+    assert sorted(r.uri for r in missing_texts(nodes, texts).collect()) == ["b", "c"]
+    ranks = spark.createDataFrame([(1,), (200,)], "rank long")
+    told = report.metrics_report(metrics.ranking_metrics(ranks), metrics.rank_distribution(ranks))
+    assert "mrr                0.5025" in told and "rank >100          1 (50.0 %)" in told
+    rows = spark.createDataFrame([(1, 0.5, "T" * 100)], "rank int, score double, title string")
+    assert report.results_report(rows) == f"  1  0.5000  {'T' * 80}"
+
+
+def test_features_end_to_end(spark):
+    from quillmesh.operators.graph import Vocabulary
+
+    v = Vocabulary("b/paper/", "b/citation/", "o#")
+    rows = [
+        ("b/paper/a", v.cites, "b/paper/d"), ("b/paper/a", v.cites, "b/paper/e"), ("b/citation/a/0", v.has_citing, "b/paper/a"), ("b/citation/a/0", v.has_cited, "b/paper/d"),
+        ("b/citation/a/0", v.has_cited, "b/paper/e"), ("b/paper/d", v.has_citation_context, "n"), ("n", v.has_context, "cites the river"),
+    ]
+    triples = spark.createDataFrame(rows, "s string, p string, o string")
+    contexts = spark.createDataFrame([("a passage", "b/paper/d", "b/paper/a", 0, "single", 1, 0)], SCHEMA + ", line int")
+    abstracts = spark.createDataFrame([("b/paper/a", "an abstract")], "uri string, text string")
+    made = {k: {r.id: any(r.vec) for r in df.collect()} for k, df in lifecycle.build_features(triples, contexts, abstracts, v, "line").items()}
+    assert made == {"P": {0: True, 1: True, 2: False}, "C": {0: True}, "PP": {0: True, 1: False, 2: False}, "PCP": {0: False, 1: False, 2: True}, "PCCon": {0: False, 1: True, 2: True}}
+    split = lifecycle.build_datasets(contexts, spark.createDataFrame([("b/paper/d", 1)], "uri string, id long")).collect()
+    assert [(r.cited_paper_id, r.split) for r in split] == [(1, "test")]
