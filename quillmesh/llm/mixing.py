@@ -30,6 +30,8 @@ MOST = 2.0
 BLOCK = 48
 #: A document of more than this fraction of its source's target is rounded ahead of the others.
 BIG = 50
+#: Sources whose figures (under 100 bytes each) may be broadcast; beyond, joins shuffle and Spark splits hot keys.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -102,11 +104,16 @@ def _fold(id_type: str, level: int) -> str:
     )
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """A table of one row a source, marked for broadcast while its counted rows allow it."""
+    return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
+
+
 def _pivot(rows: DataFrame, id_type: str) -> DataFrame | None:
     """Round the fractions ``p`` of (key, id, t, size, p); returns (key, id, t, size) of those that became 1."""
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("n")).first()[0] or 0
-    pending, chosen, level = rows.join(counts, "key"), None, 0
+    top, keys = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
+    pending, chosen, level = rows.join(_small(counts, keys), "key"), None, 0
     while top > 0:
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
         block = F.pmod(F.xxhash64(F.lit(level), "id", "t", "size"), blocks)
@@ -117,12 +124,12 @@ def _pivot(rows: DataFrame, id_type: str) -> DataFrame | None:
         left = folded.select("key", "f.r.*")
         # The next level's block count comes from the residuals that are left of each source.
         counts = left.groupBy("key").agg(F.count("*").alias("n"))
-        top = counts.agg(F.max("n")).first()[0] or 0
+        top, keys = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
         if top <= 1:
             done = done.unionAll(left.where("p >= 0.5").select("key", "id", "t", "size"))
             top = 0
         else:
-            pending = left.join(counts, "key")
+            pending = left.join(_small(counts, keys), "key")
         chosen = done if chosen is None else chosen.unionAll(done)
         level += 1
     return chosen
@@ -144,11 +151,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     goal = targets(rows.groupBy("key", "source").agg(F.sum("size").alias("source_size")), weights, share, most)
     goal = materialize(goal.withColumn("most", F.lit(float(most))), "mix-targets")
     big = F.col("size") > F.col("target") / BIG
-    sized = rows.where("size > 0").join(goal, "key")
+    keys = goal.count()
+    sized = rows.where("size > 0").join(_small(goal, keys), "key")
 
     # Large documents first: what they miss of their part, the many small ones make up for.
     first = _parts(goal, "source_size").select("key", "source_size", "target", "whole", "p")
-    large = rows.where("size > 0").join(first, "key").where(big)
+    large = rows.where("size > 0").join(_small(first, keys), "key").where(big)
     extra_large = _pivot(large.where("p > 0").select("key", "id", "t", "size", "p"), id_type)
     got = large.groupBy("key").agg(F.sum(F.col("size") * F.col("whole")).alias("sure"), F.sum("size").alias("large_size"))
     rest = goal.join(got, "key", "left")
@@ -160,11 +168,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     rest = rest.select("key", "most", (F.col("target") - none("sure") - none("drawn")).alias("target"), (F.col("source_size") - none("large_size")).alias("rest_size"))
     rest = materialize(_parts(rest, "rest_size").select("key", F.col("whole").alias("rest_whole"), "p"), "mix-rest")
-    small = sized.where(~big).select("key", "id", "t", "size").join(rest.where("p > 0"), "key").select("key", "id", "t", "size", "p")
+    small = sized.where(~big).select("key", "id", "t", "size").join(_small(rest.where("p > 0"), keys), "key").select("key", "id", "t", "size", "p")
     extra_small = _pivot(small, id_type)
     drawn = [x for x in (extra_large, extra_small) if x is not None]
 
-    placed = rows.join(first.drop("p"), "key").join(rest.drop("p"), "key")
+    placed = rows.join(_small(first.drop("p"), keys), "key").join(_small(rest.drop("p"), keys), "key")
     placed = placed.withColumn("copies", F.when(big, F.col("whole")).otherwise(F.col("rest_whole")))
     if drawn:
         chosen = drawn[0] if len(drawn) == 1 else drawn[0].unionAll(drawn[1])
