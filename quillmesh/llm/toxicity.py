@@ -44,6 +44,8 @@ REPEATS = 8
 LONGEST, WIDEST = 24, 8
 EDGE = b".,;:!?\"'()[]{}#*$%&|<>-_=+/\\`~"
 THRESHOLD = 0.7
+#: Share of clean documents that the calibrated cut may take.
+MAX_FALSE = 0.01
 CACHE_WORDS = 400_000
 
 PARAMETERS = {
@@ -150,15 +152,19 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
         beta += step
         if np.abs(step).max() < 1e-8:
             break
-    # The cut with the best F1 becomes the score THRESHOLD.
+    # The cut with the best F1 that hardly ever takes a clean document becomes the score THRESHOLD.
     z = design @ beta
     order = np.argsort(-z, kind="stable")
     caught = np.cumsum(y[order])
-    f1 = 2 * caught / (np.arange(1, len(z) + 1) + y.sum())
+    taken = np.arange(1, len(z) + 1)
     last = np.append(z[order][1:] != z[order][:-1], True)
-    best = int(np.argmax(np.where(last, f1, -1)))
-    cut = z[order][best]
-    below = z[order][best + 1] if best + 1 < len(z) else cut - 1
+    usable = last & (taken - caught <= MAX_FALSE * len(check[1])) & (caught > 0)
+    if usable.any():
+        best = int(np.argmax(np.where(usable, 2 * caught / (taken + y.sum()), -1)))
+        cut = z[order][best]
+        below = z[order][best + 1] if best + 1 < len(z) else cut - 1
+    else:  # the sample teaches nothing that tells the classes apart
+        cut = below = z.max() + 1
     shift = math.log(THRESHOLD / (1 - THRESHOLD)) - (cut + below) / 2
     return Model(ordinary, toxic, cells, beta[:-1], float(beta[-1] + shift))
 
