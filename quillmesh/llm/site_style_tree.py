@@ -73,6 +73,8 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 NAME = re.compile(r"[a-z]+")
+#: Class words that tell of a layout with or without furniture, not of furniture.
+LAYOUT = re.compile(r"(?:no|has|have|with|without|is|not|js|hide|show)-")
 
 
 class Node:
@@ -93,14 +95,17 @@ def _attributes(raw: str) -> tuple[str, bool]:
     found = {m[1].lower(): next((x for x in (m[2], m[3], m[4]) if x is not None), "") for m in ATTR.finditer(raw)}
     names = " ".join(found[k].lower() for k in ("class", "id", "role") if k in found)
     tokens = names.replace("_", "-").split()
-    parts = {t for token in tokens for t in (token, *NAME.findall(token))}
+    parts = {t for token in tokens if not LAYOUT.match(token) for t in (token, *NAME.findall(token))}
     marked = bool(parts & MARKED) or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
     marked |= "display:none" in found.get("style", "").replace(" ", "").lower()
     return ("." + ".".join(NAME.findall(names)) if names else ""), marked or bool(parts & HEADERS) and "h1" not in parts
 
 
-def blocks(page: str) -> Iterator[tuple[list[Node], str]]:
-    """Text runs of a page in order, each with its open elements; an empty text ends a block."""
+def blocks(page: str, by_name: bool = True) -> Iterator[tuple[list[Node], str]]:
+    """Text runs of a page in order, each with its open elements; an empty text ends a block.
+
+    Without ``by_name`` only the tags tell page furniture, not the names of classes and ids.
+    """
     stack: list[Node] = []
     known: dict[tuple[int, str], int] = {}
     seen_attributes: dict[str, tuple[str, bool]] = {}
@@ -172,7 +177,7 @@ def blocks(page: str) -> Iterator[tuple[list[Node], str]]:
         if path is None:
             path = known[key] = _hash(f"{key[0]}/{label}")
         root = tag in ("html", "body")
-        drop = bool(up and up.drop) or not root and (marked and tag not in ("main",) or tag in FURNITURE or tag == "header" and not inside)
+        drop = bool(up and up.drop) or not root and (by_name and marked and tag != "main" or tag in FURNITURE or tag == "header" and not inside)
         stack.append(Node(tag, label, path, drop, inside or tag in ("article", "main"), not suffix))
         if raw.endswith("/") and tag not in BLOCKS:
             stack.pop()
@@ -205,9 +210,14 @@ def style_nodes(page: str) -> list[tuple[int, int, int]]:
 
 
 def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's text: no furniture, no branch whose style node is in ``low``."""
-    if not page:
-        return ""
+    """The article's text: no furniture, no branch whose style node is in ``low``.
+
+    Where the names of classes and ids would leave nothing, only the tags decide.
+    """
+    return (_main_text(page, low, True) or _main_text(page, low, False)) if page else ""
+
+
+def _main_text(page: str, low: frozenset[int] | set[int], by_name: bool) -> str:
     found: list[tuple[bool, bool, str]] = []  # inside an article, of low importance, text of a block
     run: list[str] = []
     state = (False, False)
@@ -218,7 +228,7 @@ def main_text(page: str | None, low: frozenset[int] | set[int] = frozenset()) ->
                 found.append((*state, text))
             run.clear()
 
-    for stack, text in blocks(page):
+    for stack, text in blocks(page, by_name):
         if not text:
             flush()
             continue

@@ -96,6 +96,12 @@ def test_page_text():
     assert site_style_tree.main_text(PAGE) == "A & B one twothree four ä five six x y c d"
 
 
+def test_layout_names_are_not_furniture():
+    page = '<body class="has-sidebar"><div class="layout no-sidebar with-comments"><p>kept</p><div class="sidebar">gone</div></div>'
+    assert site_style_tree.main_text(page) == "kept"
+    assert site_style_tree.main_text('<div class="widget"><p>all there is</p><nav>x</nav></div>') == "all there is"
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("plain a<b text", "plain a"), ("<p>un<b>closed<p>next", "unclosed next"), ("<div>a</div>b<script>never closed", "a b"), ("<![CDATA[x]]>", "x"), ("a < b > c", "a < b > c"), ("<p a='>'>t</p>", "t"), ("</p></div>t", "t")])
 def test_odd_pages(page, text):
     assert site_style_tree.main_text(page) == text or page == "plain a<b text"
