@@ -152,6 +152,7 @@ def _compare(forest: Forest, x: np.ndarray, weight: np.ndarray, leaf: int, cross
 
 def _leaves(nodes: DataFrame, sent) -> DataFrame:
     """One row per vector and leaf that it reaches; ``sent`` is the broadcast forest."""
+    kind = nodes.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,18 +162,22 @@ def _leaves(nodes: DataFrame, sent) -> DataFrame:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)], ["leaf", "node", "copies", "v"])
 
-    return nodes.select("node", "copies", "v").mapInArrow(run, "leaf long, node long, copies long, v array<float>")
+    return nodes.select("node", "copies", "v").mapInArrow(run, f"leaf long, node long, copies long, v {kind}")
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: id, n_links (other vectors linked directly), component_id and kept."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    # Components stay as they come (single or double precision); anything else is read as double.
+    vector = F.col(vector_col)
+    if df.schema[vector_col].dataType.simpleString() not in ("array<float>", "array<double>"):
+        vector = vector.cast("array<double>")
+    rows = df.select(F.col(id_col).alias("id"), vector.alias("v"))
     finite = "v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(v, x -> x <> 0)"
     keyed = materialize(rows.withColumn("node", F.when(F.expr(finite), F.xxhash64("v"))).withColumn("width", F.size("v")), "vectors")
     widths = keyed.where("node IS NOT NULL").groupBy("width").count().orderBy(F.desc("count"), "width").first()
     width = widths["width"] if widths else 0
     keyed = keyed.withColumn("node", F.when(F.col("width") == width, F.col("node")))
-    classes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("v").cast("array<float>").alias("v"))
+    classes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("v").alias("v"))
     classes = materialize(classes, "vector-classes")
     total = classes.count()
     sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect()

@@ -195,6 +195,14 @@ def test_vectors(spark, monkeypatch, leaf, chunk):
         assert got == want
 
 
+def test_vectors_in_double_precision(spark):
+    """Two unit vectors whose cosine is a hair below the threshold, which single precision would not see."""
+    below, above = (np.array([c, np.sqrt(1 - c * c)]) for c in (0.95 - 1e-9, 0.95 + 1e-9))
+    for v, n in ((below, 0), (above, 1)):
+        df = spark.createDataFrame([(1, [1.0, 0.0]), (2, v.tolist())], "vec_id long, embedding array<double>")
+        assert {r.n_links for r in rp_forest.near_duplicate_vectors(df).collect()} == {n}
+
+
 def test_vectors_of_nothing(spark):
     assert rp_forest.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     odd = spark.createDataFrame([(1, None), (None, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
