@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.plans.session import ship
+
+__all__ = ["drop_materialized", "held_out", "materialize", "shared_dir", "ship", "table", "words"]
+
 #: ASCII white space of the word rule ``[^\x20\x09-\x0D]+``.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression (the vertical tab must be spelled out there).
@@ -18,20 +19,6 @@ BLANK_RUN = r"[ \t\n\x0B\f\r]+"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per context, so that they need no installed copy."""
-    sc = spark.sparkContext
-    if getattr(sc, "_quillmesh_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="quillmesh-"), "quillmesh_package.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for source in sorted(root.rglob("*.py")):
-            z.write(source, source.relative_to(root.parent))
-    sc.addPyFile(target)
-    sc._quillmesh_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, read by Spark whatever the store is."""
     ship(spark)
@@ -57,17 +44,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quillmesh_path = path
+    return out
 
 
 def drop_materialized(df: DataFrame) -> None:
-    """Delete the files behind a :func:`materialize` result that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    """Delete the table behind a :func:`materialize` result that no later step reads."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._quillmesh_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text) -> "F.Column":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize
+from quillmesh.llm.common import drop_materialized, materialize
 
 MAX_ROUNDS = 60
 
@@ -33,7 +33,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionAll(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        links = materialize(small.distinct(), "links")
+        last, links = links, materialize(small.distinct(), "links")
+        drop_materialized(last)
         now = mark(links)
         if now == before:
             break
