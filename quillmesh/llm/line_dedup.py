@@ -102,6 +102,6 @@ WITH d AS (
 )
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines,
        CAST(CASE WHEN length(cleaned) < {1 - max_lost} * length(text) THEN 0 ELSE len(lines) - len(kept) END AS BIGINT) AS n_removed,
-       sha256(CASE WHEN length(cleaned) < {1 - max_lost} * length(text) THEN text ELSE cleaned END) AS kept_sha256
+       sha256(CASE WHEN text IS NULL THEN NULL WHEN length(cleaned) < {1 - max_lost} * length(text) THEN text ELSE cleaned END) AS kept_sha256
 FROM c
 """

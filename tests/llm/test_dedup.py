@@ -214,3 +214,17 @@ def test_digest_of_the_query(spark):
 
     r = op10_line_dedup(spark, "/root/testdata/sf0.001").first()
     assert len(r.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_lines_against_sql(spark, edge, tmp_path):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    edge.write.parquet(str(tmp_path / "documents.parquet"))
+    from quillmesh.llm.queries import op10_line_dedup
+
+    for folder, path in ((str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet"), ("/root/testdata/sf0.001", "/root/testdata/sf0.001/documents.parquet")):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+        got = sorted((tuple(r) for r in op10_line_dedup(spark, folder).select("doc_id", "n_lines", "n_removed", F.col("kept_sha256")).collect()), key=str)
+        assert got == sorted((tuple(r) for r in con.execute(line_dedup.oracle_sql()).fetchall()), key=str)
