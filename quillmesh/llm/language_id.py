@@ -17,13 +17,13 @@ are predicted alike; equal probabilities go to the first language in code-point
 from __future__ import annotations
 
 import pickle
-import re
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ HIDDEN = 8
 WINDOW = 224
 WARM_UP = 16
 BATCH = 2_048
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 class Network(NamedTuple):
@@ -198,15 +198,17 @@ def fit(texts: list[str], langs: list[str], steps: int = 400, batch: int = 192,
 
 def train(documents: DataFrame, modulus: int = 4, remainder: int = 2) -> Network | None:
     """Fit on a bounded sample of the rows outside the held-out fold."""
-    usable = documents.select("doc_id", "lang", F.col("text").substr(1, MAX_TEACHING_CHARS).alias("text"))
-    usable = usable.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), modulus, remainder)).where(F.col("text").rlike(r"\p{L}"))
+    usable = documents.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), modulus, remainder)).where(F.col("text").rlike(r"\p{L}"))
     langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     if not langs:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text"))
-    # Pre-ranked on the ids alone; Spark keeps the first rows of each partition before the shuffle.
-    rows = usable.where(F.col("lang").isin(langs)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_PER_LANGUAGE).select("lang", "text").collect()
-    rows.sort()
+    # Only ids are ranked; Spark keeps the first of each task before the shuffle, so a language of
+    # most rows brings a few small rows per task.  The texts of the chosen follow by a bounded join.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
+    ids = usable.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_PER_LANGUAGE)
+    text = F.col("text").substr(1, MAX_TEACHING_CHARS).alias("text")
+    chosen = usable.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"]).select("lang", text)
+    rows = chosen.orderBy("lang", F.xxhash64("text"), "text").limit(MAX_PER_LANGUAGE * MAX_LANGUAGES).collect()
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
