@@ -35,8 +35,10 @@ SPLIT = (
 #: Cuts at white space exactly where SPLIT does; a chunk's pieces don't depend on what is around it.
 CHUNK = " ?[^" + SPACE + "]+|[" + SPACE + "]+(?![^" + SPACE + "])|[" + SPACE + "]+"
 
-#: Distinct chunks that one worker keeps before it starts afresh (about 150 MB).
-CACHE_CHUNKS = 500_000
+#: Distinct chunks that one worker keeps before it starts afresh (about 90 MB), and the characters
+#: of one batch, whose new chunks come on top.
+CACHE_CHUNKS = 300_000
+BATCH_CHARS = 16_000_000
 
 
 def byte_letters() -> list[str]:
@@ -258,7 +260,7 @@ def bpe_encode_decode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col
         model = _loaded(sent.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in _groups(texts, 24_000_000):
+            for lo, hi in _groups(texts, BATCH_CHARS):
                 places = model.places(texts[lo:hi])
                 counts = np.array(model.counts, dtype=np.int32)
                 spelled, decoded = model.spelled, model.decoded

@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -46,7 +45,7 @@ EDGE = b".,;:!?\"'()[]{}#*$%&|<>-_=+/\\`~"
 THRESHOLD = 0.7
 #: Share of clean documents that the calibrated cut may take.
 MAX_FALSE = 0.01
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 PARAMETERS = {
     "window_log": 18, "chain_log": 18, "hash_log": 17, "search_log": 8, "min_match": 4, "target_length": 16, "strategy": 5,
@@ -99,30 +98,31 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
     """Train both dictionaries on two thirds of the texts and calibrate on the rest."""
     if not toxic_texts or not ordinary_texts:
         return None
-    bags = [[windows(t) for t in texts] for texts in (toxic_texts, ordinary_texts)]
+    # Words are numbered, so that a text is a small array and not a set of strings.
+    number: dict[bytes, int] = {}
+    bags = [[np.array([number.setdefault(w, len(number)) for w in sorted(windows(t))], dtype=np.int32) for t in texts] for texts in (toxic_texts, ordinary_texts)]
     part = [[zlib.crc32(t[:200].encode("utf-8", "replace") + b"%d" % len(t)) % 3 == 2 for t in texts] for texts in (toxic_texts, ordinary_texts)]
     learn = [[b for b, c in zip(bags[k], part[k], strict=True) if not c] or bags[k] for k in (0, 1)]
     check = [[b for b, c in zip(bags[k], part[k], strict=True) if c] or bags[k] for k in (0, 1)]
-    count = [Counter(w for b in learn[k] for w in b) for k in (0, 1)]
+    count = [np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *learn[k]]), minlength=len(number)) for k in (0, 1)]
     n_toxic, n_ordinary = len(learn[0]), len(learn[1])
+    words = list(number)
     chosen = []
-    for w, c in count[0].items():
-        lift = (c / n_toxic) / ((count[1][w] + 0.5) / n_ordinary)
-        if c >= max(3, 0.004 * n_toxic) and lift > 8 and c * math.log(lift) > 12:
-            chosen.append((c * math.log(lift), w))
+    for i in np.flatnonzero(count[0] >= max(3, 0.004 * n_toxic)).tolist():
+        lift = (count[0][i] / n_toxic) / ((count[1][i] + 0.5) / n_ordinary)
+        if lift > 8 and count[0][i] * math.log(lift) > 12:
+            chosen.append((count[0][i] * math.log(lift), words[i]))
     marked = b" ".join([b"", *[w for _, w in sorted(chosen)], b""])[-TOXIC_BYTES:]
-    usual = b" ".join([b"", *[w for _, w in sorted((c, w) for w, c in count[1].items() if c > 1)], b""])[-ORDINARY_BYTES:]
+    usual = b" ".join([b"", *[w for _, w in sorted((int(count[1][i]), words[i]) for i in np.flatnonzero(count[1] > 1).tolist())], b""])[-ORDINARY_BYTES:]
     ordinary, toxic = usual or b" ", marked + usual or b" "
     margin = Compressors(ordinary, toxic).margin
-    known: dict[bytes, int] = {}
+    known = np.full(len(words), -1, dtype=np.int32)  # a cell's number, once it is known
 
-    def cells_of(bag: set[bytes]) -> list[tuple[int, int]]:
-        out = []
-        for w in bag:
-            if w not in known:
-                known[w] = margin(w)
-            out.append(_cell(w, known[w]))
-        return out
+    def cells_of(bag: np.ndarray) -> list[tuple[int, int]]:
+        for i in bag[known[bag] < 0].tolist():
+            length, m = _cell(words[i], margin(words[i]))
+            known[i] = length * (WIDEST + 1) + m
+        return [divmod(c, WIDEST + 1) for c in known[bag].tolist()]
 
     seen = [[cells_of(b) for b in check[k]] for k in (0, 1)]
     # Per cell: how much more often a toxic document holds such a window.
