@@ -4,12 +4,15 @@ Every text becomes the set of its five-word shingles and a MinHash signature.  T
 sets are one node.  Each tree of the forest orders the nodes by its own slice of the signature;
 nodes are candidates where they share the first ``ROOT`` values and stand next to each other in
 that order, so the longest common prefixes come first.  The depth is adaptive: a region with few
-nodes compares them at the root's depth, a fuller one asks for longer common prefixes.
+nodes compares all of them at the root's depth, a fuller one asks for longer common prefixes and
+begins with the nearest few.
 
 Candidates whose byte sketches say that they are far apart go; the others are confirmed on the
 full sets: first each node with its most similar smaller neighbour, then whatever still connects
-different components.  Nothing is emitted per pair of a group: a node has at most ``TREES`` x
-``WIDE`` candidates.
+different components.  The nodes of full regions are then joined exactly, whatever their number:
+two sets of the similarity share a shingle among the rarest of each, at places that their sizes
+allow.  Only pairs of different components are formed there, so a large group of near copies,
+which the forest has linked already, forms none.
 
 Nulls and edges: null text and text without words has an empty set and links with nothing; rows
 of one id are judged by their texts; a null id has a null component unless its text has copies
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import materialize
@@ -33,10 +36,14 @@ from quillmesh.llm.grams import mix, shingle_set
 SHINGLE = 5
 SIMILARITY = 75  # per cent
 TREES, DEPTH, ROOT = 16, 5, 2
-#: Nodes of a region up to which its root depth is enough, and up to which one more value is.
+#: Nodes of a region up to which all are compared; of a full one, up to which one more value is enough.
 REGION, CROWD = 16, 512
-#: Neighbours in the order that a node meets, in a small region and in a full one.
-WIDE, NARROW = 8, 3
+#: Neighbours in the order that a node meets first, in a small region (all) and in a full one.
+WIDE, NARROW = REGION - 1, 3
+#: Counters by which the exact join orders shingles from rare to frequent.
+BUCKETS = 1 << 18
+#: Ratio of the bands of set sizes that meet in the exact join.
+SIZE_BAND = 1.02
 #: Share of equal sketch bytes under which a pair is out: six deviations below the threshold.
 SKETCH = 0.45
 #: Ids that may be broadcast (16 MB).
@@ -56,6 +63,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix(least) >> np.uint64(32)).astype(np.uint32)
 
 
+def _node(shingles: np.ndarray) -> int:
+    """Hash of a set."""
+    return int(mix(shingles * _A[0] + _B[1]).sum(dtype=np.uint64).astype(np.int64))
+
+
 def _signatures(df: DataFrame) -> DataFrame:
     """Per row: id, set size, hash of the set (null if empty), signature and byte sketch."""
     id_type = df.schema["id"].dataType.simpleString()
@@ -68,7 +80,7 @@ def _signatures(df: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 if len(found):
                     sign = signature(found)
-                    nodes.append(int(mix(found * _A[0] + _B[1]).sum(dtype=np.uint64).astype(np.int64)))
+                    nodes.append(_node(found))
                     signs.append(sign.astype(">u4").tobytes())
                     sketches.append(sign.astype(np.uint8).tobytes())
                 else:
@@ -82,7 +94,7 @@ def _signatures(df: DataFrame) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes that are neighbours in some tree."""
+    """Distinct (a, b), a < b, of nodes that are neighbours in some tree; (a, a) for each node of a full region."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = nodes.select("node", "sign", tree.alias("tree"))
     at = F.col("tree") * (4 * DEPTH) + 1
@@ -91,13 +103,14 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     )
     region = Window.partitionBy("tree", "root")
     order = region.orderBy("rest", "node")
-    near = rows.withColumn("region", F.count("*").over(region)).withColumn("before", F.collect_list(F.struct("node", "rest")).over(order.rowsBetween(-WIDE, -1)))
-    near = near.where((F.col("region") > 1) & (F.size("before") > 0))
-    # The last ones of the list stand nearest.
-    take = F.when(F.col("region") <= REGION, F.lit(WIDE)).otherwise(F.lit(NARROW))
-    before = F.slice("before", F.greatest(F.size("before") - take + 1, F.lit(1)), F.lit(WIDE))
-    near = near.select("node", "region", "rest", F.explode(before).alias("x"))
-    depth = F.when(F.col("region") <= REGION, F.lit(0)).when(F.col("region") <= CROWD, F.lit(4)).otherwise(F.lit(8))
+    near = rows.withColumn("region", F.count("*").over(region)).withColumn("near", F.collect_list(F.struct("node", "rest")).over(order.rowsBetween(-WIDE, 0)))
+    near = near.where(F.col("region") > 1)
+    full = F.col("region") > REGION
+    # The last one of the list is the node itself, and those before it stand nearest.
+    take = F.when(full, F.lit(NARROW)).otherwise(F.lit(WIDE)) + 1
+    near = near.select("node", "region", "rest", F.explode(F.slice("near", F.greatest(F.size("near") - take + 1, F.lit(1)), F.lit(WIDE + 1))).alias("x"))
+    near = near.where(full | (F.col("node") != F.col("x.node")))
+    depth = F.when(~full, F.lit(0)).when(F.col("region") <= CROWD, F.lit(4)).otherwise(F.lit(8))
     near = near.where(F.substring("rest", F.lit(1), depth) == F.substring("x.rest", F.lit(1), depth))
     return near.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
 
@@ -121,20 +134,90 @@ def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, equal int")
 
 
+def _texts(nodes: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(id, text) of the rows of ``docs`` that hold ``nodes``; ``first`` has one id per node."""
+    wanted = materialize(nodes.join(first, "node").select("id").distinct(), "wanted")
+    return docs.select("id", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
+
+
+def _shared_rare(crowd: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of all nodes of ``crowd`` (node, root) of different roots that may reach the similarity.
+
+    Each set in one order, rare shingles first: the first one that two sets share has at least the
+    overlap that the similarity asks for, ``SIMILARITY / (100 + SIMILARITY)`` of both sizes, from
+    its place to the end of either.  So a place bounds the other set's size, and a shingle of a
+    common template, late in the order, brings no sets of like size together.
+    """
+    texts = materialize(_texts(crowd.select("node"), docs, first), "crowd")
+    mask = np.uint64(BUCKETS - 1)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts += np.bincount((shingle_set(text, SHINGLE) & mask).astype(np.int64), minlength=BUCKETS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[used], pa.int64())], ["bucket", "c"])
+
+    tallied = texts.select("text").mapInArrow(tally, "bucket long, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[tallied.column("bucket").to_numpy()] = tallied.column("c").to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                nodes, sizes, at, tokens = ([np.empty(0, dtype=np.int64)] for _ in range(4))
+                for text in batch.column(0).slice(lo, 256).to_pylist():
+                    found = shingle_set(text, SHINGLE)
+                    n = len(found)
+                    if n:
+                        k = n - -(-SIMILARITY * n // 100) + 1
+                        nodes.append(np.full(k, _node(found), dtype=np.int64))
+                        sizes.append(np.full(k, n, dtype=np.int64))
+                        at.append(np.arange(k, dtype=np.int64))
+                        tokens.append(found[np.lexsort((found, counts[found & mask]))[:k]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, sizes, at, tokens)], ["node", "n", "at", "token"])
+
+    rows = texts.select("text").mapInArrow(rarest, "node long, n long, at long, token long").join(crowd, "node")
+    rows = materialize(rows, "rarest")
+    several = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+    several = materialize(several, "shared")
+    rows = rows.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "token", "left_semi")
+
+    # The other set's size, as the sizes' ratio and the place allow it.
+    both = 100 + SIMILARITY
+    least = f"(({SIMILARITY} * n + 99) div 100)"
+    most = f"least(100 * n div {SIMILARITY}, {both} * (n - at) div {SIMILARITY} - n)"
+    rows = rows.withColumn("least", F.expr(least)).withColumn("most", F.expr(most))
+
+    def band(size: Column) -> Column:
+        return F.floor(F.log(size.cast("double")) / float(np.log(SIZE_BAND)))
+
+    def side(name: str, low: Column, high: Column) -> DataFrame:
+        spread = rows.where(low <= high).withColumn("own", band(F.col("n"))).withColumn("other", F.explode(F.sequence(band(low), band(high))))
+        key = [F.col("own").alias("x"), F.col("other").alias("y")] if name == "p" else [F.col("other").alias("x"), F.col("own").alias("y")]
+        return spread.select("token", *key, *[F.col(c).alias(f"{name}_{c}") for c in ("node", "root", "n", "least", "most")])
+
+    shorter = side("p", F.col("n"), F.col("most"))
+    longer = side("q", F.col("least"), F.least("n", "most"))
+    met = shorter.join(longer, ["token", "x", "y"]).where(
+        "p_root <> q_root AND (p_n < q_n OR p_n = q_n AND p_node < q_node) AND q_n <= p_most AND p_n >= q_least AND p_n <= q_most"
+    )
+    return met.select(F.least("p_node", "q_node").alias("a"), F.greatest("p_node", "q_node").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity.
 
     ``first`` has one id per node; the sets are read again from the texts of those rows alone.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node").select("id").distinct()
-    wanted = materialize(wanted, "wanted")
-    texts = docs.select("id", "text").join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "id", "left_semi")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 sets = [shingle_set(t, SHINGLE) for t in batch.column(1).slice(lo, 256).to_pylist()]
-                keys = [int(mix(s * _A[0] + _B[1]).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None for s in sets]
+                keys = [_node(s) if len(s) else None for s in sets]
                 values = np.concatenate([np.empty(0, dtype=np.uint64), *sets]).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
@@ -158,6 +241,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     nodes = signed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "sign", "sketch")
     alike = materialize(_alike(_candidates(nodes), nodes), "alike")
+    crowd, alike = alike.where("a = b").select(F.col("a").alias("node")), alike.where("a < b")
 
     # Each node with its most similar smaller neighbour: a forest of at most one pair per node.
     best = alike.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
@@ -168,8 +252,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_pairs = alike.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
     open_pairs = open_pairs.join(best, ["a", "b"], "left_anti")
     more = materialize(_confirmed(materialize(open_pairs, "open"), docs, first), "links")
+    links = sure
     if more.limit(1).count():
-        roots = connected_components(sure.unionAll(more))
+        links = sure.unionAll(more)
+        roots = connected_components(links)
+    if crowd.limit(1).count():
+        crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rest = materialize(_alike(_shared_rare(crowd, docs, first), nodes), "alike")
+        rest = materialize(_confirmed(rest, docs, first), "links")
+        if rest.limit(1).count():
+            roots = connected_components(links.unionAll(rest))
     rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     component = rooted.select("node", "root").join(smallest, "root").select("node", "root", "component_id")

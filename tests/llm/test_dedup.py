@@ -69,6 +69,24 @@ def test_a_large_group_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_pairs_inside_a_template_crowd(spark):
+    """All texts share a template just below the threshold; only the planted pairs are above it."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = " ".join(word() for _ in range(205))
+    rows = []
+    for k in range(150):
+        common, n = [word() for _ in range(5)], rng.choice([34, 35])
+        for j in range(2):
+            rows.append((2 * k + j, " ".join([template, *common, *[word() for _ in range(n - 5)]])))
+    for k in range(100):
+        rows.append((300 + k, " ".join([template, *[word() for _ in range(35)]])))
+    got = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    want = brute.near_duplicates(rows)
+    assert len({c for _, c in want.values()}) == 250
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random"])
 def test_components(spark, shape):
     rng = random.Random(2)
