@@ -3,12 +3,12 @@
 A line is known by the hash of its trimmed text.  HyperLogLog sketches of the sites merge by
 aggregation, per line hash, so that a line of every page is one small row per task before the
 shuffle.  Lines whose estimate lies clearly above the threshold are boilerplate; those near it
-are counted exactly.  Boilerplate lines go from every document, except that a document which
-would lose more than ``max_lost`` of its characters stays whole: it is a copy of other documents
-rather than a carrier of boilerplate, and whole copies are the document dedup's business.
+are counted exactly.  Boilerplate lines go from every document, whatever it loses.  A text whose
+own copies stand on ``min_sites`` sites or more would lose every line to its copies alone, which
+are the document dedup's business; from such a text go the lines that other texts carry as far.
 
-Nulls and edges: null text stays null with no lines; a null site is one site of its own; lines
-shorter than ``min_chars`` (blank ones among them) are never removed; repeated rows and ties are
+Nulls and edges: null text stays null with no lines; a null site is one site of its own; blank
+lines are never removed; repeated rows and ties are
 treated alike; an empty table gives an empty result; other columns pass through untouched.
 """
 
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from quillmesh.llm.common import BLANKS, materialize
 
 MIN_SITES = 6
-MIN_CHARS = 20
-MAX_LOST = 0.5
+#: Every line that isn't blank, and no document is spared for what it would lose.
+MIN_CHARS = 1
+MAX_LOST = 1.0
 #: log2 of the sketch's registers: a relative error of 1.6 %, far inside the band that is counted.
 LOG_K = 12
 BAND = 0.15
@@ -56,15 +57,23 @@ def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_
     return sure.unionAll(counted.where(F.col("sites") >= min_sites).select("h"))
 
 
-def line_dedup(df: DataFrame, text_col: str = "text", site_col: str = "source", key_col: str = "doc_id", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_lost: float = MAX_LOST) -> DataFrame:
+def line_dedup(df: DataFrame, text_col: str = "text", site_col: str = "source", key_col: str = "doc_id", min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """``df`` with its text cleaned, ``n_lines`` (of the input) and ``n_removed``."""
     site = F.coalesce(F.concat(F.lit("s"), F.col(site_col).cast("string")), F.lit("n"))
-    told = materialize(boilerplate(df.select(F.col(text_col).alias("text"), site.alias("site")), min_sites, min_chars), "boilerplate")
+    sited = df.select(F.col(text_col).alias("text"), site.alias("site"), F.xxhash64(text_col).alias("t"))
+    told = materialize(boilerplate(sited, min_sites, min_chars), "boilerplate")
+    known = F.broadcast(told) if told.count() <= BROADCAST_LINES else told
+    copies = sited.where("text IS NOT NULL").select("t", "site").distinct().groupBy("t").agg(F.count("*").alias("sites"))
+    copies = materialize(copies.where(F.col("sites") >= min_sites).select("t"), "copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_LINES else copies
+    others = _lines(sited.join(copies, "t", "left_anti"), min_chars, "site").join(known, "h", "left_semi").distinct()
+    others = others.groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("h", F.lit(True).alias("others"))
+    told = materialize(told.join(others, "h", "left"), "told")
     known = F.broadcast(told) if told.count() <= BROADCAST_LINES else told
     # What a row loses depends on its text alone; the id in the key spreads copies of one text.
     key = F.xxhash64(F.col(key_col), F.col(text_col))
-    rows = df.select(key.alias("k"), F.col(text_col).alias("text"))
-    marked = _lines(rows, min_chars, "k").join(known, "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("gone"))
+    rows = df.select(key.alias("k"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")).join(copies.withColumn("copied", F.lit(True)), "t", "left")
+    marked = _lines(rows, min_chars, "k", "copied").join(known, "h").where("copied IS NULL OR others").groupBy("k").agg(F.collect_set("h").alias("gone"))
     taken = {"k": "__key", "gone": "__gone", "lines": "__lines", "left": "__left"}
     out = df.withColumn(taken["k"], key).join(marked.select(F.col("k").alias(taken["k"]), F.col("gone").alias(taken["gone"])), taken["k"], "left")
     out = out.withColumn(taken["lines"], F.split(text_col, "\n", -1))
@@ -73,16 +82,15 @@ def line_dedup(df: DataFrame, text_col: str = "text", site_col: str = "source",
     )
     out = out.withColumn(taken["left"], left)
     cleaned = F.array_join(F.col(taken["left"]), "\n")
-    whole = F.length(cleaned) < (1 - max_lost) * F.length(text_col)
-    changed = F.col(taken["gone"]).isNotNull() & ~whole
+    changed = F.col(taken["gone"]).isNotNull()
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(taken["lines"])).cast("long")
     n_removed = F.when(changed, F.size(taken["lines"]) - F.size(taken["left"])).otherwise(F.lit(0)).cast("long")
     text = F.when(changed, cleaned).otherwise(F.col(text_col))
     return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
 
-def oracle_sql(min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, max_lost: float = MAX_LOST) -> str:
-    """The same result, with digests of the kept text, in DuckDB SQL over ``documents``."""
+def oracle_sql(min_sites: int = MIN_SITES, min_chars: int = 20, max_lost: float = 0.5) -> str:
+    """The rule with a least length and a most share lost, with digests of the kept text, in DuckDB SQL over ``documents``."""
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, text, coalesce('s' || source, 'n') AS site,

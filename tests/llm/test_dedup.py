@@ -166,6 +166,16 @@ def test_lines(spark, edge, edge_rows, empty):
     assert line_dedup.line_dedup(edge).columns == [*edge.columns, "n_lines", "n_removed"] and line_dedup.line_dedup(empty).count() == 0
 
 
+def test_short_lines_and_worst_carriers(spark):
+    """Short boilerplate goes, also where it is most of the text; whole copies keep what is theirs."""
+    short, long, own = "Share this", "Sign up for our weekly letter and offers", "An article that was copied whole to every site"
+    rows = [(i, f"{short}\n{long}\nbody {i}", f"s{i}") for i in range(6)] + [(10 + i, f"{own}\n{short}", f"s{i}") for i in range(6)]
+    rows += [(20, "a line\nthat few\nsites have", "s0"), (21, None, "s1"), (22, "", "s2")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = {i: (f"body {i}", 2) for i in range(6)} | {10 + i: (own, 1) for i in range(6)}
+    assert got == want | {20: (rows[-3][1], 0), 21: (None, 0), 22: ("", 0)}
+
+
 def test_lines_joined_by_shuffle(spark, monkeypatch):
     rows = [(i, f"the very same line everywhere\nown text number {i} that is longer than the line", str(i)) for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
