@@ -7,6 +7,7 @@ normalised entropy of its presentations and contents over the pages that hold it
 the pages again and leaves out low-importance branches together with what the markup itself
 declares as page furniture, and returns the article's text.
 
+Pages of a host with the same style nodes and contents count once, so copies carry no weight.
 Sums run over (host, node, hash) keys, so the rows of a hot host spread by content and are
 pre-aggregated before the shuffle.  The table of low-importance nodes is broadcast only while
 its counted rows stay under ``BROADCAST_NODES``; otherwise the pages are joined by host.
@@ -258,16 +259,19 @@ def low_importance(pages: DataFrame, min_importance: float = MIN_IMPORTANCE, min
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, nodes, shown, held = [], [], [], []
+            hosts, copies, nodes, shown, held = [], [], [], [], []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for p, a, b in style_nodes(page or ""):
+                found = style_nodes(page or "")
+                copy = _hash(repr(found))
+                for p, a, b in found:
                     hosts.append(host)
+                    copies.append(copy)
                     nodes.append(p)
                     shown.append(a)
                     held.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (nodes, shown, held)]], ["host", "node", "shown", "held"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *[pa.array(x, pa.int64()) for x in (copies, nodes, shown, held)]], ["host", "copy", "node", "shown", "held"])
 
-    rows = pages.select("host", "html").mapInArrow(parse, "host string, node long, shown long, held long")
+    rows = pages.select("host", "html").mapInArrow(parse, "host string, copy long, node long, shown long, held long").distinct()
 
     counts = rows.groupBy("host", "node", "shown", "held").agg(F.count("*").alias("c"))
     # Entropy of either hash: H = ln m - sum(c ln c) / m, normalised by ln m.

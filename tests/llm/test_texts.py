@@ -114,6 +114,14 @@ def test_any_page_is_read(page):
     site_style_tree.style_nodes(page)
 
 
+def test_copies_of_a_page_carry_no_weight(spark):
+    """Four fifths of a host are copies of one article; the bodies of the others stay."""
+    page = lambda k: f"<html><body><article><h1>title {k}</h1><div class=body>body {k}</div></article></body></html>"
+    pages = [(k, "http://a.example/x", page(k if k < 8 else 8)) for k in range(40)]
+    got = site_style_tree.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"title {min(k, 8)} body {min(k, 8)}" for k in range(40)}
+
+
 def test_low_importance_branches_go(spark):
     rng = random.Random(1)
     body = lambda: " ".join(str(rng.random()) for _ in range(12))
