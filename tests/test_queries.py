@@ -44,6 +44,20 @@ def test_rows_only(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_derived_key_join_keeps_every_conversation(spark, con):
+    got = {(r.id, r.text) for r in QUERIES["derived_key_join"](spark, SF).collect()}
+    want = con.execute("SELECT conv_id * 100 + turn, trim(text) FROM conversations WHERE turn <> 1 AND regexp_matches(text, '[^ \\t\\n\\r\\f\\v]')").fetchall()
+    assert got == set(want) and any(i // 100 % 2 for i, _ in got)
+
+
+def test_unknown_keys_are_dropped(spark):
+    from quillmesh.operators import records
+
+    contexts = spark.createDataFrame([("known", "u:/paper/a", 1, 1), ("unknown", "u:/paper/b", 1, 2)], "context string, citing_uri string, citing_idx int, pos int")
+    citations = spark.createDataFrame([("u:/citation/a/1", 7)], "uri string, id long")
+    assert [(r.id, r.text) for r in records.citation_texts(contexts, citations, "pos").collect()] == [(7, "known")]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
