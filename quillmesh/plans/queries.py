@@ -396,7 +396,7 @@ SELECT doc_id, CAST(unnest(range(longest)) AS INTEGER) AS pos, CAST(coalesce(unn
 def padded_batches(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents")
     lengths = F.transform(F.filter(F.split("text", " "), lambda w: w != ""), lambda w: F.length(w))
-    tokens = docs.select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.slice(lengths, 1, 64).alias("tokens"))
+    tokens = docs.select("doc_id", F.floor(F.col("doc_id") / 16).alias("batch"), F.slice(lengths, 1, 256).alias("tokens"))
     padded = records.pad(tokens, "batch", "tokens").select("doc_id", F.posexplode(F.arrays_zip("input_ids", "attention_mask")).alias("pos", "x"))
     return padded.select("doc_id", "pos", F.col("x.input_ids").alias("input_id"), F.col("x.attention_mask").alias("mask"))
 

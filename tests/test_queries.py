@@ -58,6 +58,12 @@ def test_unknown_keys_are_dropped(spark):
     assert [(r.id, r.text) for r in records.citation_texts(contexts, citations, "pos").collect()] == [(7, "known")]
 
 
+def test_padded_batches_keep_256_tokens(spark, con):
+    got = {r.doc_id: r.n for r in QUERIES["padded_batches"](spark, SF).where("mask = 1").groupBy("doc_id").agg({"*": "count"}).toDF("doc_id", "n").collect()}
+    want = con.execute("SELECT doc_id, n FROM (SELECT doc_id, least(256, len(list_filter(string_split(text, ' '), lambda w: w <> ''))) AS n FROM documents) WHERE n > 0").fetchall()
+    assert got == dict(want) and max(got.values()) == 256
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
