@@ -25,7 +25,14 @@ def ship(spark: SparkSession) -> None:
     sc._quillmesh_shipped = True
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True where driver and executors are one process, which shares any folder."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder; in a local temporary one only where none is set."""
+    """A new path in the cluster's shared folder; in a temporary one only where a local master has none set."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{(shared or tempfile.mkdtemp(prefix='quillmesh-')).rstrip('/')}/scratch-{uuid.uuid4().hex}"
