@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.plans.session import ship
+from quillmesh.plans.session import is_local, ship
 
 __all__ = ["drop_materialized", "held_out", "materialize", "shared_dir", "ship", "table", "words"]
 
@@ -17,6 +18,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression (the vertical tab must be spelled out there).
 BLANK_RUN = r"[ \t\n\x0B\f\r]+"
 BLANK_BYTES = b" \t\n\x0b\x0c\r"
+#: Tables in the shared folder that this driver has written and not deleted.
+_PATHS: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,34 +29,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (local tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir.rstrip("/")
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillmesh-ckpt-"))
-    return sc.getCheckpointDir().rstrip("/")
+    """The cluster's shared checkpoint folder; a temporary one only where a local master has none set."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not set_dir:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        set_dir = tempfile.mkdtemp(prefix="quillmesh-ckpt-")
+        spark.sparkContext.setCheckpointDir(set_dir)
+    return set_dir.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Unlike a local checkpoint the table outlives any executor.
+    Unlike a local checkpoint the table outlives any executor.  Tables that an operator has not
+    deleted itself, as its result may still read them, go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _PATHS:
+        atexit.register(_sweep, spark.sparkContext)
+    _PATHS.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillmesh_path = path
     return out
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the table behind a :func:`materialize` result that no later step reads."""
-    sc = df.sparkSession.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(df._quillmesh_path)
+def _delete(sc, name: str) -> None:
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _PATHS.discard(name)
+
+
+def drop_materialized(*tables: DataFrame) -> None:
+    """Delete the tables behind :func:`materialize` results that no later step reads."""
+    for df in tables:
+        _delete(df.sparkSession.sparkContext, df._quillmesh_path)
+
+
+def _sweep(sc) -> None:
+    """Delete what is left; without effect where the context has been stopped by then."""
+    for name in list(_PATHS) if sc._jsc is not None else ():
+        _delete(sc, name)
 
 
 def words(text) -> "F.Column":

@@ -1,16 +1,22 @@
 """Substring dedup over prefix-partitioned suffix trees.
 
-A suffix is a position of a text where ``WINDOW`` words follow.  Suffixes are dealt into groups
-that fit a task by a prefix of variable length: eight words, anchored at the least eight-word
-phrase of the suffix's window so that the suffixes that one anchor serves travel together, and
-the whole window where an anchor is so frequent that its group would not fit.  Anchors that occur
-once in the corpus hold no repeat and go first, as a leaf right below the root.  In each group
-the subtree's nodes at depth ``WINDOW`` are told by the suffix's fingerprint; a node with two
-suffixes or more is a repeat, and runs of such suffixes join into the maximal repeated span.
-
-Texts are one node of the input whatever the number of their copies: a text with copies repeats
-as a whole, and copies add nothing to the groups.  No large group is ever gathered: below a
-frequent prefix the prefix is the whole window, so that its node is an aggregate, not a list.
+A suffix is a position of a text where ``WINDOW`` words follow.  Three steps build the trees of the
+suffixes that may repeat:
+
+1. Candidates.  A repeated window repeats its least eight-word phrase; suffixes of windows whose
+   least phrase stands once in the corpus are leaves right below the root and go first.
+2. Prefixes.  Suffixes are dealt into groups by their first words.  A prefix has ``PREFIXES[0]``
+   words, and more as long as its suffixes are over ``GROUP``; a prefix that has grown to the whole
+   window is itself a node with very many suffixes, which are all repeats and need no list.
+   Prefixes below the limit are bundled into parts of about ``PART`` suffixes.
+3. Trees.  In each part the suffixes are sorted by their words; the longest common prefix of
+   neighbours in that order gives the subtree's internal nodes.  Runs of neighbours that share
+   ``WINDOW`` words or more are the leaves below its deep internal nodes; their positions, merged,
+   are the maximal repeated spans.
+
+A word travels as one byte of its hash; suffixes whose bytes agree are told apart by a 64-bit
+fingerprint of the whole window.  Texts are one node of the input whatever the number of their
+copies: a text with copies repeats as a whole, and copies add nothing to the groups.
 
 Nulls and edges: null text has no words; a text of fewer than ``WINDOW`` words keeps all;
 overlapping repeats inside one text count, as each starts elsewhere; null and repeated ids are
@@ -28,19 +34,26 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize
+from quillmesh.llm.common import drop_materialized, materialize, ship
 from quillmesh.llm.grams import grams, word_hashes
 
 WINDOW = 35
-PREFIX = 8
-#: Suffix runs of one eight-word prefix beyond which the whole window is the prefix.
-CROWD = 2_000
+PHRASE = 8
+#: Lengths of the variable prefixes; the last is the whole window.
+PREFIXES = (8, 16, 24, WINDOW)
+#: Suffixes of one group; more only where the corpus has over GROUP * MOST_FULL candidates.
+GROUP = 2_000
+#: Full prefixes of one length that go out as a broadcast (8 bytes each); with the limit raised
+#: to candidates / MOST_FULL there can't be more.
+MOST_FULL = 500_000
+#: Suffixes of one part, which a task holds at a time (about 60 bytes each).
+PART = 200_000
 
 
 def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window the position of its anchor, and the hashes of all eight-word phrases."""
-    phrases = grams(words, PREFIX)
-    span = WINDOW - PREFIX + 1
+    """For every window the position of its least phrase, and the hashes of all phrases."""
+    phrases = grams(words, PHRASE)
+    span = WINDOW - PHRASE + 1
     if len(words) < WINDOW:
         return np.empty(0, dtype=np.int64), phrases
     return sliding_window_view(phrases, span).argmin(axis=1) + np.arange(len(phrases) - span + 1), phrases
@@ -55,7 +68,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text its distinct anchor phrases, each with the number of places where it anchors."""
+    """Per text its distinct least phrases, each with the number of places where it is one."""
     for batch in batches:
         keys, phrases, runs = [], [], []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -68,86 +81,161 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, phrases, runs)], ["t", "phrase", "runs"])
 
 
-#: Kinds of suffix rows: a run of suffixes below one phrase; a single suffix below its whole
-#: window; a span that repeats inside its own text.
-RUN, SINGLE, SURE = 0, 1, 2
-
-
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes by prefix: kind, prefix, text, first position, end of a span, fingerprints (8 bytes each)."""
-    rows: list[tuple] = []
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (t, text, found) to (t, text, places): the places of suffixes below one of the phrases ``found``, as bits."""
     for batch in batches:
-        for key, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            words = _hashes(text)
-            at, phrases = _anchors(words)
-            labels = _signed(grams(words, WINDOW))
-            of = _signed(phrases)[at]
-            wanted, crowded = found.values.field("phrase").to_numpy(), found.values.field("crowded").to_numpy(zero_copy_only=False)
-            serves = np.isin(of, wanted)
-            full = np.isin(of, wanted[crowded])
-            run = serves & ~full
-            moves = at[1:] != at[:-1]
-            starts = np.flatnonzero(run & np.append(True, moves | ~run[:-1]))
-            stops = np.flatnonzero(run & np.append(moves | ~run[1:], True)) + 1
-            rows += [(RUN, int(of[lo]), key, lo, 0, labels[lo:hi].tobytes()) for lo, hi in zip(starts.tolist(), stops.tolist(), strict=True)]
-            place = np.flatnonzero(full)
-            if len(place):
-                own, first, back, times = np.unique(labels[place], return_index=True, return_inverse=True, return_counts=True)
-                rows += [(SINGLE, x, key, k, 0, b"") for x, k in zip(own.tolist(), place[first].tolist(), strict=True)]
-                again = place[times[back] > 1]
-                if len(again):
+        places = []
+        for text, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            at, phrases = _anchors(_hashes(text))
+            places.append(np.packbits(np.isin(_signed(phrases)[at], found.values.to_numpy())).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary())], ["t", "text", "places"])
+
+
+def _places(raw: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, dtype=np.uint8)))
+
+
+class Full:
+    """The prefixes over the limit, by length, sorted."""
+
+    def __init__(self, by_length: dict[int, np.ndarray]) -> None:
+        self.by_length = by_length
+
+    def split(self, words: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key and length of the group of each suffix, and whether its whole window is a full prefix."""
+        key = np.zeros(len(place), dtype=np.int64)
+        length = np.zeros(len(place), dtype=np.int64)
+        open_ = np.ones(len(place), dtype=bool)
+        for n in PREFIXES:
+            if not open_.any():
+                break
+            own = _signed(grams(words, n))[place]
+            key[open_], length[open_] = own[open_], n
+            full = self.by_length.get(n)
+            open_ &= np.isin(own, full) if full is not None and len(full) else False
+        return key, length, open_
+
+
+def _counted(lengths: tuple[int, ...], sent) -> object:
+    """Batches of (t, text, places) to (length, prefix, n), summed per batch; ``sent`` has the full prefixes of shorter lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[int, list[np.ndarray]] = {n: [] for n in lengths}
+            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words, place = _hashes(text), _places(places)
+                if sent is not None:
+                    place = place[np.isin(_signed(grams(words, PREFIXES[0]))[place], sent.value)]
+                for n in lengths if len(place) else ():
+                    held[n].append(_signed(grams(words, n))[place])
+            for n, parts in held.items():
+                if parts:
+                    prefix, times = np.unique(np.concatenate(parts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(prefix), n, dtype=np.int32)), pa.array(prefix), pa.array(times.astype(np.int64))], ["length", "prefix", "n"])
+
+    return run
+
+
+def _deal(parts: int, sent) -> object:
+    """Batches of (t, text, places) to blobs of suffixes per part, and to spans that repeat for sure."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = Full(sent.value)
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for batch in batches:
+            for key, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words, place = _hashes(text), _places(places)
+                prefix, length, sure = full.split(words, place)
+                if sure.any():
+                    again = place[sure]
                     cut = np.flatnonzero(np.append(True, again[1:] != again[:-1] + 1))
                     ends = again[np.append(cut[1:], len(again)) - 1] + WINDOW
-                    rows += [(SURE, 0, key, lo, hi, b"") for lo, hi in zip(again[cut].tolist(), ends.tolist(), strict=True)]
-            if len(rows) > 20_000:
-                yield _suffix_batch(rows)
-                rows = []
-    if rows:
-        yield _suffix_batch(rows)
+                    spans = [np.full(len(cut), key, dtype=np.int64), again[cut].astype(np.int32), ends.astype(np.int32)]
+                    yield _dealt(np.full(len(cut), -1, dtype=np.int32), *spans, [b""] * len(cut))
+                    prefix, length, place = prefix[~sure], length[~sure], place[~sure]
+                if not len(place):
+                    continue
+                letters = np.append((words & np.uint64(255)).astype(np.uint8), np.zeros(WINDOW, dtype=np.uint8))
+                path = sliding_window_view(letters, WINDOW - PREFIXES[0])[place + PREFIXES[0]]
+                prints = _signed(grams(words, WINDOW))[place]
+                held.append((prefix, length.astype(np.uint8), np.full(len(place), key, dtype=np.int64), place.astype(np.int32), prints, path))
+                n += len(place)
+                if n >= PART:
+                    yield _blobs(held, parts)
+                    held, n = [], 0
+        if held:
+            yield _blobs(held, parts)
+
+    return run
+
+
+def _dealt(part: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, blob: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part), pa.array(t), pa.array(lo), pa.array(hi), pa.array(blob, pa.binary())], ["part", "t", "lo", "hi", "blob"])
+
+
+#: One suffix in a blob: key and length of its prefix, text, place, fingerprint, and a byte for each word after PREFIXES[0].
+SUFFIX = np.dtype([("prefix", "<i8"), ("length", "u1"), ("t", "<i8"), ("place", "<i4"), ("print", "<i8"), ("path", f"V{WINDOW - PREFIXES[0]}")])
+
+
+def _blobs(held: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    rows = np.empty(len(columns[0]), dtype=SUFFIX)
+    for name, column in zip(SUFFIX.names, columns, strict=True):
+        rows[name] = np.ascontiguousarray(column).view(SUFFIX[name]).ravel() if name == "path" else column
+    part = (columns[0].view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    own, first = np.unique(part[order], return_index=True)
+    blobs = [x.tobytes() for x in np.split(rows[order], first[1:])]
+    none = np.zeros(len(own), dtype=np.int32)
+    return _dealt(own.astype(np.int32), none.astype(np.int64), none, none, blobs)
 
 
-def _suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["kind", "prefix", "t", "first", "stop", "prints"])
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated spans below the deep nodes of each part; the blobs come sorted by part."""
+    held: list[bytes] = []
+    of = None
+    for batch in batches:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if part != of and held:
+                yield _spans(np.frombuffer(b"".join(held), dtype=SUFFIX))
+                held = []
+            of = part
+            held.append(blob)
+    if held:
+        yield _spans(np.frombuffer(b"".join(held), dtype=SUFFIX))
 
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated spans below the phrases of a partition; the rows come sorted by prefix.
+def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of suffixes (SUFFIX rows), and the longest common prefix of each with the one before it.
 
-    The last group of a batch waits for the next batch; a group has about CROWD runs at most.
+    The common prefix is counted in words; suffixes of different groups share none that matters.
     """
-    held: pa.Table | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        prefix = table.column("prefix").to_numpy()
-        cut = int(np.searchsorted(prefix, prefix[-1]))
-        held = table.slice(cut)
-        if cut:
-            yield _nodes(table.slice(0, cut))
-    if held is not None:
-        yield _nodes(held)
-
-
-def _nodes(table: pa.Table) -> pa.RecordBatch:
-    """Spans [lo, hi) under the nodes of depth WINDOW that hold two suffixes or more."""
-    text, first = table.column("t").to_numpy(), table.column("first").to_numpy()
-    prints = table.column("prints").to_pylist()
-    sizes = np.array([len(p) // 8 for p in prints], dtype=np.int64)
-    run = np.repeat(np.arange(len(prints)), sizes)
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    labels = np.frombuffer(b"".join(prints), dtype=np.int64)
-    order = np.argsort(labels, kind="stable")  # the label fixes the prefix, so it alone tells the node
-    new = np.append(True, labels[order][1:] != labels[order][:-1])
-    count = np.diff(np.append(np.flatnonzero(new), len(order)))
-    repeated = np.empty(len(order), dtype=bool)
-    repeated[order] = np.repeat(count > 1, count)
-    run, place = run[repeated], (first[run] + offset)[repeated]
-    begins = np.append(True, (run[1:] != run[:-1]) | (place[1:] != place[:-1] + 1)) if len(run) else np.empty(0, dtype=bool)
-    ends = np.append(begins[1:], True) if len(run) else begins
-    columns = [pa.array(text[run[begins]]), pa.array(place[begins].astype(np.int32)), pa.array((place[ends] + WINDOW).astype(np.int32))]
+    width = WINDOW - PREFIXES[0]
+    path = np.zeros((len(rows), -(-width // 8) * 8), dtype=np.uint8)
+    path[:, :width] = np.ascontiguousarray(rows["path"]).view(np.uint8).reshape(len(rows), width)
+    words = path.view(">u8")
+    order = np.lexsort((rows["print"], *words.T[::-1], rows["prefix"], rows["length"]))
+    path, prefix, prints = path[order, :width], rows["prefix"][order], rows["print"][order]
+    same = (prefix[1:] == prefix[:-1]) & (rows["length"][order][1:] == rows["length"][order][:-1])
+    differ = path[1:] != path[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), width) + PREFIXES[0]
+    # All bytes agree but the windows don't: two words share a byte somewhere.
+    common = np.where((common == WINDOW) & (prints[1:] != prints[:-1]), WINDOW - 1, common)
+    return order, np.concatenate([[0], np.where(same, common, 0)]) if len(rows) else np.empty(0, dtype=np.int64)
+
+
+def _spans(rows: np.ndarray) -> pa.RecordBatch:
+    """Maximal runs of positions under the internal nodes of depth WINDOW or more."""
+    order, common = suffix_order(rows)
+    deep = common >= WINDOW
+    leaf = deep | np.append(deep[1:], False)
+    text, place = rows["t"][order][leaf], rows["place"][order][leaf]
+    by = np.lexsort((place, text))
+    text, place = text[by], place[by]
+    begins = np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)) if len(text) else np.empty(0, dtype=bool)
+    ends = np.append(begins[1:], True) if len(text) else begins
+    columns = [pa.array(text[begins]), pa.array(place[begins].astype(np.int32)), pa.array((place[ends] + WINDOW).astype(np.int32))]
     return pa.RecordBatch.from_arrays(columns, ["t", "lo", "hi"])
 
 
@@ -182,34 +270,62 @@ def _cut_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["id", "n_words", "n_removed", "kept_sha256"])
 
 
+def full_prefixes(texts: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
+    """Number of candidate suffixes of (t, text, places), and the prefixes of each length over the group limit."""
+    spark = texts.sparkSession
+    kind = "length int, prefix long, n long"
+    first = materialize(texts.mapInArrow(_counted(PREFIXES[:1], None), kind).groupBy("length", "prefix").agg(F.sum("n").alias("n")), "prefixes")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(GROUP, -(-total // MOST_FULL))
+
+    def over(counts: DataFrame) -> dict[int, np.ndarray]:
+        # At most total / limit <= MOST_FULL of each length.
+        table = counts.where(F.col("n") > limit).select("length", "prefix").toArrow()
+        lengths, prefixes = table.column(0).to_numpy(), table.column(1).to_numpy()
+        return {n: np.sort(prefixes[lengths == n]) for n in set(lengths.tolist())}
+
+    full = over(first)
+    drop_materialized(first)
+    if full:
+        sent = spark.sparkContext.broadcast(full[PREFIXES[0]])
+        full |= over(texts.mapInArrow(_counted(PREFIXES[1:], sent), kind).groupBy("length", "prefix").agg(F.sum("n").alias("n")))
+    return total, full
+
+
 def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(t, spans) of the texts that share windows with other texts or within themselves.
 
     ``docs`` has id, t (hash of the text) and text; ``copies`` has t and the id of one row with it.
     """
+    spark = docs.sparkSession
     anchors = docs.where("text IS NOT NULL").select("t", "text").mapInArrow(_find_anchors, "t long, phrase long, runs int")
     # Sums before the shuffle and a join that Spark can split: a phrase of very many texts is no task of its own.
-    phrases = anchors.groupBy("phrase").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("runs").alias("most"), F.sum("runs").alias("all"))
-    shared = phrases.where("a <> b OR most > 1").select("phrase", (F.col("all") > CROWD).alias("crowded"))
-    wanted = anchors.select("t", "phrase").join(shared, "phrase").groupBy("t").agg(F.collect_set(F.struct("phrase", "crowded")).alias("found")).join(copies, "t")
+    phrases = anchors.groupBy("phrase").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("runs").alias("most"))
+    shared = phrases.where("a <> b OR most > 1").select("phrase")
+    wanted = anchors.select("t", "phrase").join(shared, "phrase").groupBy("t").agg(F.collect_set("phrase").alias("found")).join(copies, "t")
     wanted = wanted.select("found", F.col("t").alias("t2"), F.col("id").alias("id2"))
     texts = docs.join(wanted, (F.col("t") == F.col("t2")) & F.col("id").eqNullSafe(F.col("id2"))).select("t", "text", "found")
-    suffixes = materialize(texts.mapInArrow(_suffixes, "kind int, prefix long, t long, first int, stop int, prints binary"), "suffixes")
-    runs = suffixes.where(F.col("kind") == RUN).select("prefix", "t", "first", "prints").repartition("prefix").sortWithinPartitions("prefix")
-    below = runs.mapInArrow(_trees, "t long, lo int, hi int")
-    single = suffixes.where(F.col("kind") == SINGLE).select("prefix", "t", "first")
-    nodes = single.groupBy("prefix").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a <> b").select("prefix")
-    whole = single.join(nodes, "prefix").select("t", F.col("first").alias("lo"), (F.col("first") + WINDOW).alias("hi"))
-    sure = suffixes.where(F.col("kind") == SURE).select("t", F.col("first").alias("lo"), F.col("stop").alias("hi"))
-    return below.unionAll(whole).unionAll(sure).groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    texts = materialize(texts.mapInArrow(_mark, "t long, text string, places binary"), "suffix-texts")
+    total, full = full_prefixes(texts)
+    parts = max(1, -(-total // PART))
+    dealt = texts.mapInArrow(_deal(parts, spark.sparkContext.broadcast(full)), "part int, t long, lo int, hi int, blob binary")
+    dealt = materialize(dealt, "suffixes")
+    drop_materialized(texts)
+    groups = dealt.where("part >= 0").select("part", "blob").repartition("part").sortWithinPartitions("part")
+    below = groups.mapInArrow(_trees, "t long, lo int, hi int")
+    spans = below.unionAll(dealt.where("part < 0").select("t", "lo", "hi")).groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = materialize(spans, "spans")
+    drop_materialized(dealt)
+    return spans
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per row: id, n_words, n_removed and the digest of the kept words; ``with_text`` adds them."""
+    ship(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     copies = materialize(docs.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "copies")
-    spans = materialize(repeated_spans(docs, copies.select("t", "id")), "spans")
+    spans = repeated_spans(docs, copies.select("t", "id"))
     told = copies.where("rows > 1").select("t", "rows").join(spans, "t", "full")
     out = docs.join(told, "t", "left").select("id", "text", F.coalesce("rows", F.lit(1)).alias("rows"), "spans")
     if with_text:

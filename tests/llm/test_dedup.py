@@ -111,10 +111,11 @@ def test_hashes_follow_the_words():
         assert len(shingle_set(text)) == len(brute.shingles(text))
 
 
-@pytest.mark.parametrize("crowd", [2_000, 2])
+@pytest.mark.parametrize("group", [2_000, 2])
 @pytest.mark.parametrize("seed", range(2))
-def test_repeated_passages(spark, monkeypatch, seed, crowd):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+def test_repeated_passages(spark, monkeypatch, seed, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "PART", 100 * group)
     rows = [*_corpus(seed), (500, "loop " * 120), (501, "a b c " * 40), (502, "loop " * 36), (503, "loop " * 34)]
     got = sorted(tuple(r) for r in suffix_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
     assert got == brute.substring_dedup(rows)
