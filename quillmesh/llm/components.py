@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import drop_materialized, materialize
 
-MAX_ROUNDS = 60
-
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b); the root is the smallest node reached.
 
     Alternating large and small stars: each round hangs the neighbours of a node on the smallest of
     them.  Minima come from an aggregation with map-side combine and a join that Spark can split,
-    so a hub with very many links is never one task's list.  Each round is a written table.
+    so a hub with very many links is never one task's list.  Each round is a written table, and the
+    rounds go on until one changes nothing: about as many as the logarithm of the longest path.
     """
     links = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
@@ -24,9 +23,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
     before = mark(links)
-    for _ in range(MAX_ROUNDS):
-        if not before[0]:
-            break
+    while before[0]:
         both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()

@@ -6,8 +6,9 @@ positions.  A text is cut into windows, with a warm-up on either side so that st
 settled where positions count, and windows of equal length run through the network together:
 memory follows the batch, not the text.
 
-Learning uses at most ``MAX_PER_LANGUAGE`` rows per language in the order of a hash of the id;
-prediction covers every byte of every text.
+Learning uses at most ``MAX_PER_LANGUAGE`` ids of each language that there is, in the order of a
+hash, and from each ``CUTS`` stretches of ``CUT`` characters drawn from all over its text (of several
+texts of one id and language, that of the least hash).  Prediction covers every byte of every text.
 
 Nulls and edges: null texts and texts without a letter are ``und`` with score 0; rows with a
 null language, text or id never teach; with no teaching rows everything is ``und``; repeated rows
@@ -27,13 +28,16 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import held_out
+from quillmesh.llm.common import held_out, materialize, ship
 
 UNKNOWN = "und"
 MAX_PER_LANGUAGE = 400
-#: Languages that the network may learn; the bound keeps the sample's size known.
-MAX_LANGUAGES = 64
-MAX_TEACHING_CHARS = 4_000
+#: Stretches of a teaching text, and their characters.
+CUTS, CUT = 16, 160
+#: Shares of a language in which ids are ranked before the shares' best meet.
+SHARES = 64
+#: Teaching ids that may be broadcast (16 MB).
+BROADCAST_IDS = 500_000
 HIDDEN = 8
 WINDOW = 224
 WARM_UP = 16
@@ -116,6 +120,61 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / lengths[:, None]
 
 
+def gradients(p: dict[str, np.ndarray], codes: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy over the bytes of ``codes`` [T, B] (256 is padding), and its gradients through time."""
+    length, batch = codes.shape
+    kind = p["table"].dtype
+    mask = (codes != 256).astype(kind)
+    states, kept = [], []
+    for d in (0, 1):
+        h = np.zeros((batch, HIDDEN), dtype=kind)
+        hs = np.empty((length, batch, HIDDEN), dtype=kind)
+        memo = [None] * length
+        for t in range(length) if d == 0 else range(length - 1, -1, -1):
+            x = p["table"][d][codes[t]]
+            g = _sigmoid(x[:, : 2 * HIDDEN] + h @ p["recur"][d][:, : 2 * HIDDEN])
+            z, r = g[:, :HIDDEN], g[:, HIDDEN:]
+            c = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ p["recur"][d][:, 2 * HIDDEN :])
+            memo[t] = (h, z, r, c)
+            h = z * h + (1 - z) * c
+            hs[t] = h
+        states.append(hs)
+        kept.append(memo)
+    both = np.concatenate(states, axis=2)
+    logits = both @ p["out"] + p["bias"]
+    logits -= logits.max(axis=2, keepdims=True)
+    prob = np.exp(logits)
+    prob /= prob.sum(axis=2, keepdims=True)
+    share = mask / mask.sum()
+    loss = -float((np.log(np.maximum(prob[:, np.arange(batch), label], 1e-30)) * share).sum())
+    delta = prob
+    delta[:, np.arange(batch), label] -= 1
+    delta *= share[:, :, None]
+    grad = {k: np.zeros_like(v) for k, v in p.items()}
+    grad["out"] = np.einsum("tbh,tbn->hn", both, delta)
+    grad["bias"] = delta.sum(axis=(0, 1))
+    up = delta @ p["out"].T
+    for d in (0, 1):
+        recur = p["recur"][d]
+        carry = np.zeros((batch, HIDDEN), dtype=kind)
+        inputs = np.empty((length, batch, 3 * HIDDEN), dtype=kind)
+        for t in range(length - 1, -1, -1) if d == 0 else range(length):
+            h, z, r, c = kept[d][t]
+            dh = up[t, :, d * HIDDEN : (d + 1) * HIDDEN] + carry
+            dc = dh * (1 - z) * (1 - c * c)
+            dz = dh * (h - c) * z * (1 - z)
+            drh = dc @ recur[:, 2 * HIDDEN :].T
+            dr = drh * h * r * (1 - r)
+            dg = np.concatenate([dz, dr], axis=1)
+            carry = dh * z + drh * r + dg @ recur[:, : 2 * HIDDEN].T
+            grad["recur"][d][:, : 2 * HIDDEN] += h.T @ dg
+            grad["recur"][d][:, 2 * HIDDEN :] += (r * h).T @ dc
+            inputs[t, :, : 2 * HIDDEN] = dg
+            inputs[t, :, 2 * HIDDEN :] = dc
+        np.add.at(grad["table"][d], codes.ravel(), inputs.reshape(-1, 3 * HIDDEN))
+    return loss, grad
+
+
 def fit(texts: list[str], langs: list[str], steps: int = 400, batch: int = 192, length: int = 64, seed: int = 7) -> Network | None:
     """Train by backpropagation through time with Adam; every position of a window has the text's label."""
     languages = sorted(set(langs))
@@ -140,52 +199,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 400, batch: int = 192,
             at = rng.integers(0, max(1, len(raw) - length + 1))
             got = np.frombuffer(raw, dtype=np.uint8)[at : at + length]
             codes[: len(got), j] = got
-        mask = (codes != 256).astype(np.float32)
-        states, kept = [], []
-        for d in (0, 1):
-            h = np.zeros((batch, HIDDEN), dtype=np.float32)
-            hs = np.empty((length, batch, HIDDEN), dtype=np.float32)
-            memo = [None] * length
-            for t in range(length) if d == 0 else range(length - 1, -1, -1):
-                x = p["table"][d][codes[t]]
-                g = _sigmoid(x[:, : 2 * HIDDEN] + h @ p["recur"][d][:, : 2 * HIDDEN])
-                z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-                c = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ p["recur"][d][:, 2 * HIDDEN :])
-                memo[t] = (h, z, r, c)
-                h = z * h + (1 - z) * c
-                hs[t] = h
-            states.append(hs)
-            kept.append(memo)
-        both = np.concatenate(states, axis=2)
-        logits = both @ p["out"] + p["bias"]
-        logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
-        prob /= prob.sum(axis=2, keepdims=True)
-        delta = prob
-        delta[:, np.arange(batch), label] -= 1
-        delta *= (mask / mask.sum())[:, :, None]
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        grad["out"] = np.einsum("tbh,tbn->hn", both, delta)
-        grad["bias"] = delta.sum(axis=(0, 1))
-        up = delta @ p["out"].T
-        for d in (0, 1):
-            recur = p["recur"][d]
-            carry = np.zeros((batch, HIDDEN), dtype=np.float32)
-            inputs = np.empty((length, batch, h3), dtype=np.float32)
-            for t in range(length - 1, -1, -1) if d == 0 else range(length):
-                h, z, r, c = kept[d][t]
-                dh = up[t, :, d * HIDDEN : (d + 1) * HIDDEN] + carry
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (h - c) * z * (1 - z)
-                drh = dc @ recur[:, 2 * HIDDEN :].T
-                dr = drh * h * r * (1 - r)
-                dg = np.concatenate([dz, dr], axis=1)
-                carry = dh * z + drh * r + dg @ recur[:, : 2 * HIDDEN].T
-                grad["recur"][d][:, : 2 * HIDDEN] += h.T @ dg
-                grad["recur"][d][:, 2 * HIDDEN :] += (r * h).T @ dc
-                inputs[t, :, : 2 * HIDDEN] = dg
-                inputs[t, :, 2 * HIDDEN :] = dc
-            np.add.at(grad["table"][d], codes.ravel(), inputs.reshape(-1, h3))
+        _, grad = gradients(p, codes, label)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         rate = 0.03 * min(1.0, step / 20) * (0.5 + 0.5 * np.cos(np.pi * step / steps))
         for k, g in grad.items():
@@ -199,17 +213,21 @@ def fit(texts: list[str], langs: list[str], steps: int = 400, batch: int = 192,
 def train(documents: DataFrame, modulus: int = 4, remainder: int = 2) -> Network | None:
     """Fit on a bounded sample of the rows outside the held-out fold."""
     usable = documents.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"), modulus, remainder)).where(F.col("text").rlike(r"\p{L}"))
-    langs = [r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    if not langs:
-        return None
-    # Only ids are ranked; Spark keeps the first of each task before the shuffle, so a language of
-    # most rows brings a few small rows per task.  The texts of the chosen follow by a bounded join.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = usable.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_PER_LANGUAGE)
-    text = F.col("text").substr(1, MAX_TEACHING_CHARS).alias("text")
-    chosen = usable.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"]).select("lang", text)
-    rows = chosen.orderBy("lang", F.xxhash64("text"), "text").limit(MAX_PER_LANGUAGE * MAX_LANGUAGES).collect()
-    return fit([r.text for r in rows], [r.lang for r in rows])
+    # Only ids are ranked, first within shares of a language, so that a language of most rows is many tasks.
+    order = F.xxhash64(F.col("doc_id").cast("string"))
+    keys = usable.select("lang", "doc_id").withColumns({"h": order, "share": F.pmod(order, F.lit(SHARES))})
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+    keys = keys.distinct().withColumn("rank", best("lang", "share")).where(F.col("rank") <= MAX_PER_LANGUAGE)
+    keys = materialize(keys.withColumn("rank", best("lang")).where(F.col("rank") <= MAX_PER_LANGUAGE).select("lang", "doc_id"), "teaching-ids")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    # The stretches spread evenly over the text; each starts somewhere in its own part, told by a hash.
+    part = F.greatest((F.length("text") - CUT) / CUTS, F.lit(0.0))
+    start = lambda k: (part * (k + F.pmod(F.xxhash64("text", k), F.lit(1000)) / 1000)).cast("int") + 1
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)), lambda k: F.substring(F.col("text"), start(k), F.lit(CUT)))
+    chosen = usable.join(keys, ["lang", "doc_id"]).select("lang", "doc_id", F.xxhash64("text").alias("h"), cuts.alias("cuts"))
+    rows = chosen.groupBy("lang", "doc_id").agg(F.min_by("cuts", "h").alias("cuts")).orderBy("lang", "doc_id").collect()
+    taught = [(x, r.lang) for r in rows for x in dict.fromkeys(r.cuts)]
+    return fit([x for x, _ in taught], [g for _, g in taught])
 
 
 _NETWORK: dict[int, Network | None] = {}
@@ -217,6 +235,7 @@ _NETWORK: dict[int, Network | None] = {}
 
 def predict(documents: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, predicted language and its mean probability over all positions."""
+    ship(documents.sparkSession)
     raw = pickle.dumps(net)
     sent = documents.sparkSession.sparkContext.broadcast(raw)
     key = zlib.crc32(raw)

@@ -5,7 +5,9 @@ sets are one node.  Each tree of the forest orders the nodes by its own slice of
 nodes are candidates where they share the first ``ROOT`` values and stand next to each other in
 that order, so the longest common prefixes come first.  The depth is adaptive: a region with few
 nodes compares all of them at the root's depth, a fuller one asks for longer common prefixes and
-begins with the nearest few.
+begins with the nearest few.  Regions over ``SPLIT`` nodes are dealt into shares by the next values
+of the signature and a hash, so that none is one task; what a share parts, other trees and the exact
+join bring together.
 
 Candidates whose byte sketches say that they are far apart go; the others are confirmed on the
 full sets: first each node with its most similar smaller neighbour, then whatever still connects
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize
+from quillmesh.llm.common import materialize, ship
 from quillmesh.llm.components import connected_components
 from quillmesh.llm.grams import mix, shingle_set
 
@@ -38,6 +40,8 @@ SIMILARITY = 75  # per cent
 TREES, DEPTH, ROOT = 16, 5, 2
 #: Nodes of a region up to which all are compared; of a full one, up to which one more value is enough.
 REGION, CROWD = 16, 512
+#: Nodes of a region that stay together in one task, and regions above it that may be broadcast.
+SPLIT, BROADCAST_REGIONS = 4_096, 200_000
 #: Neighbours in the order that a node meets first, in a small region (all) and in a full one.
 WIDE, NARROW = REGION - 1, 3
 #: Counters by which the exact join orders shingles from rare to frequent.
@@ -101,9 +105,14 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     rows = rows.select(
         "node", "tree", F.substring("sign", at, F.lit(4 * ROOT)).alias("root"), F.substring("sign", at + 4 * ROOT, F.lit(4 * (DEPTH - ROOT))).alias("rest")
     )
-    region = Window.partitionBy("tree", "root")
+    wide = materialize(rows.groupBy("tree", "root").agg(F.count("*").alias("all")).where(F.col("all") > SPLIT), "wide-regions")
+    rows = rows.join(F.broadcast(wide) if wide.count() <= BROADCAST_REGIONS else wide, ["tree", "root"], "left")
+    next_values = F.xxhash64(F.substring("rest", F.lit(1), F.lit(8)))
+    rows = rows.withColumn("share", F.when(F.col("all").isNotNull(), F.xxhash64(next_values, F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("all") / SPLIT)))))
+    region = Window.partitionBy("tree", "root", "share")
     order = region.orderBy("rest", "node")
-    near = rows.withColumn("region", F.count("*").over(region)).withColumn("near", F.collect_list(F.struct("node", "rest")).over(order.rowsBetween(-WIDE, 0)))
+    held = F.coalesce("all", F.count("*").over(region))
+    near = rows.withColumn("region", held).withColumn("near", F.collect_list(F.struct("node", "rest")).over(order.rowsBetween(-WIDE, 0)))
     near = near.where(F.col("region") > 1)
     full = F.col("region") > REGION
     # The last one of the list is the node itself, and those before it stand nearest.
@@ -236,6 +245,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``group`` tells the component by content (null without words) and ``t`` is the text's hash,
     for callers whose ids repeat.
     """
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
     signed = materialize(_signatures(docs), "signatures")
     first = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
@@ -277,5 +287,35 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     empty = found.where("group IS NULL").select(F.col(id_col).alias("__i"), F.col("t").alias("__t")).distinct()
     keyed = df.withColumns({"__id": F.col(id_col), "__h": F.xxhash64(text_col)})
     on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__h") == F.col("__t"))
-    twin = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(1)))
+    # Twins in id and text may differ elsewhere: the first by the whole row's hash stays.
+    twin = F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.xxhash64(*df.columns)))
     return keyed.join(stay.unionAll(empty), on, "left_semi").withColumn("__twin", twin).where("__twin = 1").select(*df.columns)
+
+
+def oracle_sql() -> str:
+    """Links by full sets and their components in DuckDB SQL over ``documents``."""
+    blank = "[ \\t\\n\\x0B\\f\\r]+"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{blank}'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS s FROM w
+), n AS (
+  SELECT s, min(doc_id) AS node, len(s) AS size FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s
+), x AS (
+  SELECT node, size, unnest(s) AS g FROM n
+), links AS (
+  SELECT a.node AS a, b.node AS b FROM x a JOIN x b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node, a.size, b.size
+  HAVING 100 * count(*) >= {SIMILARITY} * (a.size + b.size - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, root) AS (
+  SELECT node, node FROM n UNION SELECT b, root FROM reach JOIN both_ways ON a = node
+), roots AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(root, s.doc_id) AS component_id, s.doc_id = coalesce(root, s.doc_id) AS kept
+FROM s LEFT JOIN n ON n.s = list_sort(s.s) LEFT JOIN roots ON roots.node = n.node
+"""

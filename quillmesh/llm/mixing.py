@@ -13,8 +13,9 @@ Randomness is a hash of the row and the level, never of the partitioning, so rer
 source is many blocks from the start.
 
 Nulls and edges: null text has size 0 and is taken 0 times, as is blank text; the null source is a
-source of its own, last in order; rows with the same id are separate rows; an empty table gives an
-empty result; columns besides id, text and source are ignored.
+source of its own, last in order; rows with the same id are separate rows; rows alike in id, text
+and source are one row of the rounding with their number, so that they never fill a block; an empty
+table gives an empty result; columns besides id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -109,11 +110,24 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_SOURCES else df
 
 
-def _pivot(rows: DataFrame, id_type: str) -> DataFrame | None:
-    """Round the fractions ``p`` of (key, id, t, size, p); returns (key, id, t, size) of those that became 1."""
+def _alike(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id, t, size, p) alike, as one: what is left of their parts, and how many of them are certain.
+
+    The words of one move to another of the same size unchanged, so all but one become whole.
+    """
+    once = materialize(rows.groupBy("key", "id", "t", "size", "p").agg(F.count("*").alias("m")), "mix-alike")
+    share = F.col("m") * F.col("p")
+    share = F.when(F.abs(share - F.round(share)) < 1e-9, F.round(share)).otherwise(share)
+    sure = once.select("key", "id", "t", "size", F.floor(share).alias("n")).where("n > 0")
+    return once.withColumn("p", share - F.floor(share)).where("p > 0").drop("m"), sure
+
+
+def _pivot(rows: DataFrame, id_type: str) -> DataFrame:
+    """Round the fractions ``p`` of (key, id, t, size, p); returns (key, id, t, size, n) of those that became 1, alike ones as one row."""
+    rows, chosen = _alike(rows)
     counts = rows.groupBy("key").agg(F.count("*").alias("n"))
     top, keys = counts.agg(F.coalesce(F.max("n"), F.lit(0)), F.count("*")).first()
-    pending, chosen, level = rows.join(_small(counts, keys), "key"), None, 0
+    pending, level = rows.join(_small(counts, keys), "key"), 0
     while top > 0:
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
         block = F.pmod(F.xxhash64(F.lit(level), "id", "t", "size"), blocks)
@@ -130,7 +144,7 @@ def _pivot(rows: DataFrame, id_type: str) -> DataFrame | None:
             top = 0
         else:
             pending = left.join(_small(counts, keys), "key")
-        chosen = done if chosen is None else chosen.unionAll(done)
+        chosen = chosen.unionAll(done.withColumn("n", F.lit(1).cast("long")))
         level += 1
     return chosen
 
@@ -160,27 +174,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     extra_large = _pivot(large.where("p > 0").select("key", "id", "t", "size", "p"), id_type)
     got = large.groupBy("key").agg(F.sum(F.col("size") * F.col("whole")).alias("sure"), F.sum("size").alias("large_size"))
     rest = goal.join(got, "key", "left")
-    if extra_large is not None:
-        extra_large = materialize(extra_large, "mix-large")
-        rest = rest.join(extra_large.groupBy("key").agg(F.sum("size").alias("drawn")), "key", "left")
-    else:
-        rest = rest.withColumn("drawn", F.lit(0))
+    extra_large = materialize(extra_large, "mix-large")
+    rest = rest.join(extra_large.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("drawn")), "key", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     rest = rest.select("key", "most", (F.col("target") - none("sure") - none("drawn")).alias("target"), (F.col("source_size") - none("large_size")).alias("rest_size"))
     rest = materialize(_parts(rest, "rest_size").select("key", F.col("whole").alias("rest_whole"), "p"), "mix-rest")
     small = sized.where(~big).select("key", "id", "t", "size").join(_small(rest.where("p > 0"), keys), "key").select("key", "id", "t", "size", "p")
     extra_small = _pivot(small, id_type)
-    drawn = [x for x in (extra_large, extra_small) if x is not None]
 
     placed = rows.join(_small(first.drop("p"), keys), "key").join(_small(rest.drop("p"), keys), "key")
     placed = placed.withColumn("copies", F.when(big, F.col("whole")).otherwise(F.col("rest_whole")))
-    if drawn:
-        chosen = drawn[0] if len(drawn) == 1 else drawn[0].unionAll(drawn[1])
-        # Rows alike in id, text and source share, in order, the extra copies drawn for them.
-        extra = chosen.groupBy(F.col("key").alias("k2"), F.col("id").alias("i2"), F.col("t").alias("t2")).agg(F.count("*").alias("extra"))
-        placed = placed.withColumn("twin", F.row_number().over(Window.partitionBy("key", "id", "t").orderBy("size")))
-        on = (F.col("key") == F.col("k2")) & F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2"))
-        placed = placed.join(extra, on, "left").withColumn("copies", F.col("copies") + (F.col("twin") <= F.coalesce("extra", F.lit(0))).cast("long"))
+    # Rows alike in id, text and source share, in order, the extra copies drawn for them.
+    chosen = extra_large.unionAll(extra_small)
+    extra = chosen.groupBy(F.col("key").alias("k2"), F.col("id").alias("i2"), F.col("t").alias("t2")).agg(F.sum("n").alias("extra"))
+    placed = placed.withColumn("twin", F.row_number().over(Window.partitionBy("key", "id", "t").orderBy("size")))
+    on = (F.col("key") == F.col("k2")) & F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2"))
+    placed = placed.join(extra, on, "left").withColumn("copies", F.col("copies") + (F.col("twin") <= F.coalesce("extra", F.lit(0))).cast("long"))
     copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)).cast("long")
     return placed.select(F.col("id").alias(id_col), "t", "key", "size", "source_size", F.col("target").cast("double").alias("target"), (copies * F.col("size")).alias("taken"), copies.alias("copies"))
 
@@ -188,8 +197,31 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df``, each as often as the mix takes it."""
     plan = mix(df, id_col, text_col, source_col).where("copies > 0").groupBy(F.col(id_col).alias("__id"), F.col("t").alias("__t"), F.col("key").alias("__key")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("__copies"))
-    twin = Window.partitionBy("__i", "__h", "__s").orderBy(F.lit(1))
+    # Rows alike in these may differ elsewhere: their order is that of the whole row's hash.
+    twin = Window.partitionBy("__i", "__h", "__s").orderBy(F.xxhash64(*df.columns))
     keyed = df.withColumns({"__i": F.col(id_col), "__h": F.xxhash64(text_col), "__s": source_key(F.col(source_col))}).withColumn("__twin", F.row_number().over(twin))
     on = F.col("__i").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__t")) & (F.col("__s") == F.col("__key"))
     times = F.coalesce(F.try_element_at("__copies", F.col("__twin")), F.lit(0)).cast("int")
     return keyed.join(plan, on).withColumn("__one", F.explode(F.array_repeat(F.lit(1), times))).select(*df.columns)
+
+
+def targets_sql(weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> str:
+    """Sizes and targets of the sources of ``documents`` in DuckDB SQL: the level is tried after every number of capped sources."""
+    weight = f"list_extract([{', '.join(f'{w}::DOUBLE' for w in weights)}], CAST((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % {len(weights)} + 1 AS BIGINT))"
+    return f"""
+WITH d AS (
+  SELECT source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS size FROM documents
+), s AS (
+  SELECT source, sum(size) AS source_size FROM d GROUP BY source
+), w AS (
+  SELECT *, {weight} AS weight FROM s
+), n AS (
+  SELECT *, {most} * source_size AS cap, {most} * source_size / weight AS need, row_number() OVER (ORDER BY {most} * source_size / weight, source) AS k FROM w
+), tried AS (
+  SELECT b.k, ({share} * (SELECT sum(source_size) FROM n) - coalesce(sum(a.cap), 0)) / ((SELECT sum(weight) FROM n) - coalesce(sum(a.weight), 0)) AS level, any_value(b.need) AS need
+  FROM n b LEFT JOIN n a ON a.k < b.k GROUP BY b.k
+), l AS (
+  SELECT coalesce(max(level) FILTER (WHERE level <= need), (SELECT max(need) FROM n)) AS level FROM tried
+)
+SELECT source, CAST(source_size AS BIGINT) AS source_size, round(least(level * weight, cap), 6) AS target FROM n CROSS JOIN l
+"""

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm import language_id, line_dedup, minhash_forest, mixing, rp_forest, site_style_tree, suffix_dedup, toxicity
+from quillmesh.llm import language_id, line_dedup, minhash_forest, mixing, quality_rules, rp_forest, site_style_tree, suffix_dedup, toxicity
 from quillmesh.llm.bpe import bpe_encode_decode
 from quillmesh.llm.common import held_out, table
-from quillmesh.llm.quality_rules import quality_rules
-
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def tokenizer_spec(path: str | None = None) -> str:
-    """JSON text of the production tokenizer file."""
-    with open(path or f"{TOKENIZERS}/byte_bpe_50k.json", encoding="utf-8") as f:
+    """JSON text of a tokenizer file, by default the production one."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
         return f.read()
 
 
@@ -46,7 +45,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    counted = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets of all sources, which op9's rows carry."""
+    sizes = table(spark, sf_dir, "documents").select(mixing.source_key(F.col("source")).alias("key"), "source", mixing.word_count(F.col("text")).alias("size"))
+    goal = mixing.targets(sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size")))
+    return goal.select(F.when(F.col("key") != "n", F.expr("substring(key, 2)")).alias("source"), "source_size", F.round("target", 6).alias("target"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -79,8 +86,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op10_line_dedup": op10_line_dedup,
+    "mixing_targets": mixing_targets,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_forest": minhash_forest.oracle_sql(),
+    "op4_rp_forest": rp_forest.oracle_sql(),
+    "op6_quality_rules": quality_rules.oracle_sql(),
+    "op8_suffix_dedup": suffix_dedup.oracle_sql(),
     "op10_line_dedup": line_dedup.oracle_sql(),
+    "mixing_targets": mixing.targets_sql(),
 }

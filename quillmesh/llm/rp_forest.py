@@ -8,11 +8,12 @@ two vectors, so no pair is ever written out: a leaf yields one row per vector.
 
 The directions come from a seed; the split points are medians of a bounded sample (``SAMPLE``
 vectors in the order of a hash), per node while the sample resolves it and per level below that.
-The depth follows the number of vectors.  A leaf of more than ``CHUNK`` vectors is dealt out as
+The depth follows the number of vectors.  Vectors of each length have a forest of their own, as a
+cosine needs equal lengths.  A leaf of more than ``CHUNK`` vectors is dealt out as
 pairs of chunks, so no task ever holds more than two chunks of it.
 
 Nulls and edges: vectors that are null, empty, zero or hold null or non-finite components link
-with nothing, and so do vectors of another length than most; equal vectors are one node, with their
+with nothing; vectors of different lengths never link; equal vectors are one node, with their
 number; rows of one id are separate vectors, told apart by content; a null id never becomes the
 component of a vector that has an id; an empty table gives an empty result.
 """
@@ -24,10 +25,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize
+from quillmesh.llm.common import materialize, ship
 from quillmesh.llm.components import connected_components
 
 COSINE = 0.95
@@ -151,59 +153,61 @@ def _compare(forest: Forest, x: np.ndarray, weight: np.ndarray, leaf: int, cross
 
 
 def _leaves(nodes: DataFrame, sent) -> DataFrame:
-    """One row per vector and leaf that it reaches; ``sent`` is the broadcast forest."""
+    """One row per vector and leaf that it reaches; ``sent`` has the broadcast forests by length of vector."""
     kind = nodes.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                row, leaf = routes(sent.value, _unit(_matrix(part.column(2))))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), part.column(0).take(take), part.column(1).take(take), part.column(2).take(take)], ["leaf", "node", "copies", "v"])
+                widths = batch.column(3).slice(lo, 2000)
+                for width in widths.unique().to_pylist():
+                    part = batch.slice(lo, 2000).filter(pc.equal(widths, width))
+                    row, leaf = routes(sent.value[width], _unit(_matrix(part.column(2))))
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf), *[part.column(k).take(take) for k in range(4)]], ["leaf", "node", "copies", "v", "width"])
 
-    return nodes.select("node", "copies", "v").mapInArrow(run, f"leaf long, node long, copies long, v {kind}")
+    return nodes.select("node", "copies", "v", "width").mapInArrow(run, f"leaf long, node long, copies long, v {kind}, width int")
 
 
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per row: id, n_links (other vectors linked directly), component_id and kept."""
+    ship(df.sparkSession)
     # Components stay as they come (single or double precision); anything else is read as double.
     vector = F.col(vector_col)
     if df.schema[vector_col].dataType.simpleString() not in ("array<float>", "array<double>"):
         vector = vector.cast("array<double>")
     rows = df.select(F.col(id_col).alias("id"), vector.alias("v"))
     finite = "v IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(v, x -> x <> 0)"
-    keyed = materialize(rows.withColumn("node", F.when(F.expr(finite), F.xxhash64("v"))).withColumn("width", F.size("v")), "vectors")
-    widths = keyed.where("node IS NOT NULL").groupBy("width").count().orderBy(F.desc("count"), "width").first()
-    width = widths["width"] if widths else 0
-    keyed = keyed.withColumn("node", F.when(F.col("width") == width, F.col("node")))
-    classes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("v").alias("v"))
+    keyed = materialize(rows.withColumn("node", F.when(F.expr(finite), F.xxhash64("v", F.size("v")))).withColumn("width", F.size("v")), "vectors")
+    classes = keyed.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("first"), F.first("v").alias("v"), F.first("width").alias("width"))
     classes = materialize(classes, "vector-classes")
-    total = classes.count()
-    sample = classes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect()
-    forest = grow(_unit(np.array([r.v for r in sample])) if sample else np.empty((0, width)), total, width)
-    sent = df.sparkSession.sparkContext.broadcast(forest)
+    forests = {}
+    for r in classes.groupBy("width").count().collect():
+        # Few vectors of a length are one leaf, and need no sample.
+        sample = classes.where(F.col("width") == r["width"]).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").collect() if r["count"] > LEAF else []
+        forests[r["width"]] = grow(_unit(np.array([x.v for x in sample])) if sample else np.empty((0, r["width"])), r["count"], r["width"])
+    sent = df.sparkSession.sparkContext.broadcast(forests)
 
     leaves = _leaves(classes, sent)
     # Leaves above CHUNK are dealt out as pairs of chunks; the counts are few and known exactly.
-    sizes = leaves.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    crowded = leaves.join(sizes, "leaf", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)))
+    sizes = leaves.groupBy("width", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    crowded = leaves.join(sizes, ["width", "leaf"], "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1)))
     part = F.pmod(F.xxhash64("node", "leaf"), F.col("parts"))
     crowded = crowded.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tasks = crowded.select("leaf", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") <= F.col("other")).alias("left"), "node", "copies", "v")
+    tasks = crowded.select("width", "leaf", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), (F.col("part") <= F.col("other")).alias("left"), "node", "copies", "v")
 
     def run(table: pa.Table) -> pa.Table:
-        leaf, lo, hi = (table.column(k)[0].as_py() for k in ("leaf", "lo", "hi"))
+        width, leaf, lo, hi = (table.column(k)[0].as_py() for k in ("width", "leaf", "lo", "hi"))
         table = table.sort_by([("left", "descending"), ("node", "ascending")])
         node = table.column("node").to_numpy()
         weight = table.column("copies").to_numpy()
         x = _unit(_matrix(table.column("v").combine_chunks()))
         cross = int(np.count_nonzero(table.column("left").to_numpy())) if lo != hi else 0
-        links, tied = _compare(sent.value, x, weight, leaf, cross)
+        links, tied = _compare(sent.value[width], x, weight, leaf, cross)
         told = (links > 0) | (tied != np.arange(len(tied)))
         return pa.table({"node": node[told], "links": links[told], "tied": node[tied[told]]})
 
-    met = tasks.groupBy("leaf", "lo", "hi").applyInArrow(run, "node long, links long, tied long")
+    met = tasks.groupBy("width", "leaf", "lo", "hi").applyInArrow(run, "node long, links long, tied long")
     met = materialize(met, "vector-links")
     counted = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(met.select(F.col("node").alias("a"), F.col("tied").alias("b")).distinct())
@@ -213,3 +217,25 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     out = keyed.select("id", "node").join(known, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def oracle_sql() -> str:
+    """All pairs by cosine in double precision and their components in DuckDB SQL over ``embeddings``."""
+    return f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), u AS (
+  SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM v
+  WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) WHERE list_dot_product(a.u, b.u) >= {COSINE}
+), reach(node, root) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT b, root FROM reach JOIN links ON a = node
+), roots AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, root AS component_id, vec_id = root AS kept
+FROM v JOIN roots ON node = vec_id LEFT JOIN counted ON a = vec_id
+"""

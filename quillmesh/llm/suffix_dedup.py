@@ -333,3 +333,25 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     else:
         cut = out.mapInArrow(_cut_digests, f"id {id_type}, n_words long, n_removed long, kept_sha256 string")
     return cut.withColumnRenamed("id", id_col)
+
+
+def oracle_sql() -> str:
+    """Windows that start more than once, and the words that they cover, in DuckDB SQL over ``documents``."""
+    blank = "[ \\t\\n\\x0B\\f\\r]+"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{blank}'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM d
+), c AS (
+  SELECT r, p, count(*) OVER (PARTITION BY array_to_string(w[p:p + {WINDOW - 1}], ' ')) AS c FROM s
+), gone AS (
+  SELECT r, list(DISTINCT p + k) AS gone FROM c CROSS JOIN (SELECT unnest(range({WINDOW})) AS k) WHERE c > 1 GROUP BY r
+), words AS (
+  SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), left_over AS (
+  SELECT words.r, list(x ORDER BY words.p) AS kept FROM words LEFT JOIN (SELECT r, unnest(gone) AS p FROM gone) g ON g.r = words.r AND g.p = words.p WHERE g.p IS NULL GROUP BY words.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(len(kept), 0) AS BIGINT) AS n_removed, sha256(array_to_string(coalesce(kept, []), ' ')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (r)
+"""

@@ -7,8 +7,10 @@ under the ordinary dictionary minus that under the toxic one.  Margins are calib
 length on labelled rows that the dictionaries have not seen, and a document's score is a
 logistic function of its strongest windows.
 
-Learning uses a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_ORDINARY`` rows in the
-order of a hash of the id); scoring covers every window of every document.
+Learning uses a bounded sample of labelled ids (``MAX_TOXIC`` and ``MAX_ORDINARY`` of them in the
+order of a hash), each with its whole text; of several texts of one id the one of the least hash
+teaches.  A teaching text reaches the driver as its distinct words.  Scoring covers every window of
+every document.
 
 Nulls and edges: null, empty and blank texts have no window and get the score of a document
 with none; rows without a label or text never teach; with no toxic or no ordinary teaching rows
@@ -29,14 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import held_out
+from quillmesh.llm.common import held_out, ship
 
 MAX_TOXIC = 2_000
 MAX_ORDINARY = 4_000
-#: Characters of a teaching text that are read (bounds the sample's size; scoring reads all).
-MAX_TEACHING_CHARS = 20_000
+#: Sizes of the dictionaries' contents, as zstandard's trainer takes one: whole words, the best first, up to here.
 ORDINARY_BYTES = 131_072
-TOXIC_BYTES = 8_192
+TOXIC_BYTES = 65_536
 #: Times that a word is written in its window.
 REPEATS = 8
 #: Lengths and margins from these on share a cell of the calibration.
@@ -94,14 +95,25 @@ def _features(values: list[float], n: int) -> list[float]:
     return [*top, math.log1p(n)]
 
 
-def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
-    """Train both dictionaries on two thirds of the texts and calibrate on the rest."""
-    if not toxic_texts or not ordinary_texts:
+def _content(words: list[bytes], size: int) -> bytes:
+    """The words from the best on, as many as fit, the best of them last."""
+    n = 0
+    for k, w in enumerate(words):
+        n += len(w) + 1
+        if n >= size:
+            words = words[:k]
+            break
+    return b" ".join([b"", *words[::-1], b""])
+
+
+def fit(toxic_bags: list[list[bytes]], ordinary_bags: list[list[bytes]]) -> Model | None:
+    """Train both dictionaries on two thirds of the texts (their sorted distinct words) and calibrate on the rest."""
+    if not toxic_bags or not ordinary_bags:
         return None
     # Words are numbered, so that a text is a small array and not a set of strings.
     number: dict[bytes, int] = {}
-    bags = [[np.array([number.setdefault(w, len(number)) for w in sorted(windows(t))], dtype=np.int32) for t in texts] for texts in (toxic_texts, ordinary_texts)]
-    part = [[zlib.crc32(t[:200].encode("utf-8", "replace") + b"%d" % len(t)) % 3 == 2 for t in texts] for texts in (toxic_texts, ordinary_texts)]
+    bags = [[np.array([number.setdefault(w, len(number)) for w in bag], dtype=np.int32) for bag in some] for some in (toxic_bags, ordinary_bags)]
+    part = [[zlib.crc32(b" ".join(bag)) % 3 == 2 for bag in some] for some in (toxic_bags, ordinary_bags)]
     learn = [[b for b, c in zip(bags[k], part[k], strict=True) if not c] or bags[k] for k in (0, 1)]
     check = [[b for b, c in zip(bags[k], part[k], strict=True) if c] or bags[k] for k in (0, 1)]
     count = [np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *learn[k]]), minlength=len(number)) for k in (0, 1)]
@@ -112,8 +124,8 @@ def fit(toxic_texts: list[str], ordinary_texts: list[str]) -> Model | None:
         lift = (count[0][i] / n_toxic) / ((count[1][i] + 0.5) / n_ordinary)
         if lift > 8 and count[0][i] * math.log(lift) > 12:
             chosen.append((count[0][i] * math.log(lift), words[i]))
-    marked = b" ".join([b"", *[w for _, w in sorted(chosen)], b""])[-TOXIC_BYTES:]
-    usual = b" ".join([b"", *[w for _, w in sorted((int(count[1][i]), words[i]) for i in np.flatnonzero(count[1] > 1).tolist())], b""])[-ORDINARY_BYTES:]
+    marked = _content([w for _, w in sorted(chosen, reverse=True)], TOXIC_BYTES)
+    usual = _content([w for _, w in sorted(((int(count[1][i]), words[i]) for i in np.flatnonzero(count[1] > 1).tolist()), reverse=True)], ORDINARY_BYTES)
     ordinary, toxic = usual or b" ", marked + usual or b" "
     margin = Compressors(ordinary, toxic).margin
     known = np.full(len(words), -1, dtype=np.int32)  # a cell's number, once it is known
@@ -195,19 +207,22 @@ class Scorer:
 
 def train(documents: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1) -> Model | None:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
-    usable = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    usable = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     usable = usable.where(~held_out(F.col("doc_id"), modulus, remainder))
     by_hash = [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")]
     ids = usable.where("toxic = 1").orderBy(*by_hash).limit(MAX_TOXIC).unionAll(usable.where("toxic = 0").orderBy(*by_hash).limit(MAX_ORDINARY))
-    rows = (
-        documents.select("doc_id", F.col("text").substr(1, MAX_TEACHING_CHARS).alias("text"))
-        .where("text IS NOT NULL")
-        .join(F.broadcast(ids), "doc_id")  # at most MAX_TOXIC + MAX_ORDINARY rows
-        .orderBy("doc_id", "text")
-        .limit(MAX_TOXIC + MAX_ORDINARY)
-        .collect()
-    )
-    return fit([r.text for r in rows if r.toxic], [r.text for r in rows if not r.toxic])
+    ship(documents.sparkSession)
+    texts = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id")  # at most MAX_TOXIC + MAX_ORDINARY ids
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [sorted(windows(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(held, pa.list_(pa.binary()))], ["id", "toxic", "h", "words"])
+
+    id_type = documents.schema["doc_id"].dataType.simpleString()
+    rows = texts.select(F.col("doc_id").alias("id"), "toxic", "text", F.xxhash64("text").alias("h")).mapInArrow(bags, f"id {id_type}, toxic int, h long, words array<binary>")
+    rows = rows.groupBy("id", "toxic").agg(F.min_by("words", "h").alias("words")).orderBy("id").collect()
+    return fit([r.words for r in rows if r.toxic], [r.words for r in rows if not r.toxic])
 
 
 _SCORER: dict[int, Scorer] = {}
@@ -221,6 +236,7 @@ def classify(documents: DataFrame, model: Model | None, id_col: str = "doc_id",
 def _scored(df: DataFrame, model: Model | None, keep_text: bool = False) -> DataFrame:
     """``df`` with its score; the column ``text`` goes unless ``keep_text``."""
     spark = df.sparkSession
+    ship(spark)
     raw = pickle.dumps(model)
     sent = spark.sparkContext.broadcast(raw)
     key = zlib.crc32(raw)

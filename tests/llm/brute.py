@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
+from html.parser import HTMLParser
+
+import numpy as np
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -81,3 +85,80 @@ def targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
             left -= out[s]
             open_.remove(s)
     return out
+
+
+class _Article(HTMLParser):
+    """Text of the first article element, block by block, by the standard library's parser."""
+
+    BLOCKS = frozenset("article h1 h2 p br ul ol li div table tr td section".split())
+    SKIP = frozenset("script style form nav aside footer".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skip, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in self.SKIP
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in self.SKIP
+        if tag in self.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1] += data
+
+
+def article(html):
+    parser = _Article()
+    parser.feed(html or "")
+    parser.close()
+    return " ".join(x for x in (" ".join(b.split()) for b in parser.blocks) if x)
+
+
+def language(net, raw):
+    """Mean over all bytes of the softmax of a bidirectional gated network, one byte at a time."""
+    hidden = net.recur.shape[1]
+    sides = []
+    for d in (0, 1):
+        h, out = np.zeros(hidden), []
+        for b in raw if d == 0 else raw[::-1]:
+            x = net.table[d][b].astype(float)
+            gates = 1 / (1 + np.exp(-(x[: 2 * hidden] + h @ net.recur[d][:, : 2 * hidden])))
+            z, r = gates[:hidden], gates[hidden:]
+            h = z * h + (1 - z) * np.tanh(x[2 * hidden :] + (r * h) @ net.recur[d][:, 2 * hidden :])
+            out.append(h)
+        sides.append(np.array(out if d == 0 else out[::-1]))
+    logits = np.concatenate(sides, axis=1) @ net.out + net.bias
+    e = np.exp(logits - logits.max(axis=1, keepdims=True))
+    return (e / e.sum(axis=1, keepdims=True)).mean(axis=0)
+
+
+def toxic_score(model, text):
+    """Logistic score of the three strongest words by their compressed lengths, each compressed afresh."""
+    import zstandard
+
+    from quillmesh.llm import toxicity
+
+    own = set()
+    for w in (text or "").lower().encode("utf-8", "replace").split():
+        own.add(w.strip(toxicity.EDGE))
+    own.discard(b"")
+    values = []
+    for w in own:
+        sizes = []
+        for content in (model.ordinary, model.toxic):
+            parameters = zstandard.ZstdCompressionParameters(**toxicity.PARAMETERS)
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=parameters)
+            sizes.append(len(zstandard.ZstdCompressor(compression_params=parameters, dict_data=d).compress((b" " + w) * toxicity.REPEATS + b" ")))
+        margin = min(max(sizes[0] - sizes[1], 0), toxicity.WIDEST)
+        values.append(float(model.cells[min(len(w), toxicity.LONGEST), margin]))
+    top = sorted([v for v in values if v > 0], reverse=True)[:3]
+    z = float(np.dot(model.weights, [*top, *[0.0] * (3 - len(top)), math.log1p(len(own))])) + model.bias
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))

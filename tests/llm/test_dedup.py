@@ -9,10 +9,12 @@ import brute
 import numpy as np
 import pytest
 
-from quillmesh.llm import line_dedup, minhash_forest, rp_forest, suffix_dedup
+from quillmesh.llm import line_dedup, minhash_forest, queries, rp_forest, suffix_dedup
 from quillmesh.llm.components import connected_components
 from quillmesh.llm.grams import grams, shingle_set, word_hashes
 
+SF = "/root/testdata/sf0.001"
+
 
 def _corpus(seed, n=120):
     """Bases with copies, near copies at all distances, and passages that several texts share."""
@@ -129,23 +131,27 @@ def test_repeated_passages_on_edges(edge, edge_rows, empty):
     assert kept[7] == "Tiny" and kept[3] == "" and kept[14] == " ".join(brute.words(edge_rows[13][1]))
 
 
-def _lines(rows, min_sites, min_chars, max_lost):
-    sites = {}
+def _lines(rows, min_sites):
+    """Lines on enough sites go; from a text that itself stands on enough sites only those that other texts carry as far."""
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r")
+    whole, every, others = {}, {}, {}
+    for _, text, site in rows:
+        if text is not None:
+            whole.setdefault(text, set()).add(site)
+    copied = {t for t, s in whole.items() if len(s) >= min_sites}
     for _, text, site in rows:
         for x in (text or "").split("\n"):
-            sites.setdefault(x.strip(" \t\n\x0b\x0c\r"), set()).add(site)
+            every.setdefault(key(x), set()).add(site)
+            if text not in copied:
+                others.setdefault(key(x), set()).add(site)
     out = []
     for i, text, _ in rows:
         if text is None:
             out.append((i, 0, 0, None))
             continue
-        lines = text.split("\n")
-        key = lambda x: x.strip(" \t\n\x0b\x0c\r")
-        left = [x for x in lines if len(key(x)) < min_chars or len(sites[key(x)]) < min_sites]
-        cleaned = "\n".join(left)
-        if len(cleaned) < (1 - max_lost) * len(text):
-            left, cleaned = lines, text
-        out.append((i, len(lines), len(lines) - len(left), cleaned))
+        lines, sites = text.split("\n"), others if text in copied else every
+        left = [x for x in lines if not key(x) or len(sites.get(key(x), ())) < min_sites or len(every[key(x)]) < min_sites]
+        out.append((i, len(lines), len(lines) - len(left), "\n".join(left)))
     return out
 
 
@@ -159,10 +165,10 @@ def test_lines(spark, edge, edge_rows, empty):
         rng.shuffle(own)
         rows.append((i, "\n".join(own), rng.choice([None, "", *"abcdefgh"]) if rng.random() < 0.6 else "a"))
     got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
-    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == _lines(rows, line_dedup.MIN_SITES, line_dedup.MIN_CHARS, line_dedup.MAX_LOST)
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == _lines(rows, line_dedup.MIN_SITES)
     assert any(r.n_removed for r in got)
     on_edge = line_dedup.line_dedup(edge).collect()
-    want = _lines([(r[0], r[1], r[3]) for r in edge_rows], line_dedup.MIN_SITES, line_dedup.MIN_CHARS, line_dedup.MAX_LOST)
+    want = _lines([(r[0], r[1], r[3]) for r in edge_rows], line_dedup.MIN_SITES)
     assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in on_edge), key=str) == sorted(want, key=str)
     assert line_dedup.line_dedup(edge).columns == [*edge.columns, "n_lines", "n_removed"] and line_dedup.line_dedup(empty).count() == 0
 
@@ -245,15 +251,86 @@ def test_digest_of_the_query(spark):
     assert len(r.kept_sha256) == len(hashlib.sha256(b"").hexdigest())
 
 
-def test_lines_against_sql(spark, edge, tmp_path):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_against_sql(spark, edge, tmp_path, name):
+    """Each query against its SQL on the smallest tables, and where it reads documents on the edge cases with ids of their own."""
     import duckdb
     from pyspark.sql import functions as F
 
-    edge.write.parquet(str(tmp_path / "documents.parquet"))
-    from quillmesh.llm.queries import op10_line_dedup
-
-    for folder, path in ((str(tmp_path), f"{tmp_path}/documents.parquet/*.parquet"), ("/root/testdata/sf0.001", "/root/testdata/sf0.001/documents.parquet")):
+    own = edge.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/embeddings.parquet").limit(0).write.parquet(str(tmp_path / "embeddings.parquet"))
+    for folder, files in ((str(tmp_path), "/*.parquet"), (SF, "")):
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
-        got = sorted((tuple(r) for r in op10_line_dedup(spark, folder).select("doc_id", "n_lines", "n_removed", F.col("kept_sha256")).collect()), key=str)
-        assert got == sorted((tuple(r) for r in con.execute(line_dedup.oracle_sql()).fetchall()), key=str)
+        for t in ("documents", "embeddings"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet{files}'")
+        df = queries.QUERIES[name](spark, folder)
+        cursor = con.execute(queries.ORACLE_SQL[name])
+        columns = [d[0] for d in cursor.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert sorted((tuple(r) for r in df.select(*columns).collect()), key=str) == sorted(cursor.fetchall(), key=str)
+
+
+def test_vectors_of_several_lengths(spark):
+    """Vectors of each length are compared among themselves, whichever is the most frequent."""
+    rows = [(k, [1.0, 0.01 * k, 0.0]) for k in range(5)] + [(10, [1.0, 0.0]), (11, [1.0, 0.001]), (20, [3.0]), (21, [5.0]), (22, [-1.0]), (30, [1.0, 0.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rp_forest.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {k: (4, 0) for k in range(5)} | {10: (1, 10), 11: (1, 10), 20: (1, 20), 21: (1, 20), 22: (0, 22), 30: (0, 30)}
+
+
+def test_vectors_of_the_driver_at_production_leaves(spark):
+    """2,000 vectors in leaves of 400: nearly every link of brute force is found."""
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    assert len(rows) > 4 * rp_forest.LEAF
+    got = {r.vec_id: r.n_links for r in rp_forest.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    want = _links(rows)
+    assert sum(got.values()) >= 0.99 * sum(n for n, _ in want.values()) and all(got[i] <= n for i, (n, _) in want.items())
+
+
+def test_regions_dealt_into_shares(spark, monkeypatch):
+    """Near copies whose region of the forest is dealt out are still one group each."""
+    monkeypatch.setattr(minhash_forest, "SPLIT", 20)
+    rng = random.Random(3)
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(90)]
+        for i in range(80):
+            w = list(base)
+            w[rng.randrange(90)] = f"x{i}"
+            rows.append((1000 * g + i, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute.near_duplicates(rows)
+
+
+def test_a_long_chain_is_one_component(spark):
+    """More links in a row than any fixed number of rounds would see, in no order."""
+    names = list(range(3000))
+    random.Random(8).shuffle(names)
+    links = list(zip(names, names[1:]))
+    assert {r.root for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()} == {0}
+
+
+def test_suffixes_in_order():
+    """Sorted suffixes and their common prefixes against plain tuples of words."""
+    rng = random.Random(1)
+    words = [rng.choice(["a", "b", "c"]) for _ in range(120)]
+    words[60:105] = words[5:50]
+    hashes = suffix_dedup._hashes(" ".join(words))
+    place = np.arange(len(words) - suffix_dedup.WINDOW + 1)
+    prefix, length, sure = suffix_dedup.Full({}).split(hashes, place)
+    held = np.append((hashes & np.uint64(255)).astype(np.uint8), np.zeros(40, dtype=np.uint8))
+    width = suffix_dedup.WINDOW - suffix_dedup.PREFIXES[0]
+    path = np.stack([held[k + 8 : k + 8 + width] for k in place])
+    blob = suffix_dedup._blobs([(prefix, length.astype(np.uint8), np.zeros(len(place), dtype=np.int64), place.astype(np.int32), grams(hashes, suffix_dedup.WINDOW).view(np.int64), path)], 1)
+    rows = np.frombuffer(blob.column(4)[0].as_py(), dtype=suffix_dedup.SUFFIX)
+    order, common = suffix_dedup.suffix_order(rows)
+    at = rows["place"][order].tolist()
+
+    def shared(x, y):
+        n = 0
+        while n < suffix_dedup.WINDOW and words[x + n] == words[y + n]:
+            n += 1
+        return n if n >= 8 else 0
+
+    assert not sure.any() and common.tolist()[1:] == [shared(x, y) for x, y in zip(at, at[1:])]
+    assert sum(c >= suffix_dedup.WINDOW for c in common.tolist()) >= 11
