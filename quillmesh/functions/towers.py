@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.plans.session import ship
+
 ACTIVATIONS = {
     "none": lambda x: x,
     "relu": lambda x: np.maximum(x, 0),
@@ -115,10 +117,15 @@ class PaperTower:
 
 @dataclass
 class ContextTower:
-    """Projection of an encoded passage: affine map, layer norm, unit length."""
+    """Projection of an encoded passage: affine map, layer norm, unit length.
+
+    ``tuned`` puts a linear layer on the encoder's output, at first the identity, which training
+    moves at the encoder's own rate.
+    """
 
     nfeat: int
     embed_dim: int
+    tuned: bool = False
     weights: dict[str, np.ndarray] = field(default_factory=dict)
 
     def initialise(self, seed: int = 42) -> ContextTower:
@@ -128,10 +135,14 @@ class ContextTower:
             "proj.w": rng.uniform(-bound, bound, (self.nfeat, self.embed_dim)), "proj.b": np.zeros(self.embed_dim),
             "norm.scale": np.ones(self.embed_dim), "norm.shift": np.zeros(self.embed_dim),
         }
+        if self.tuned:
+            self.weights["encoder.w"] = np.eye(self.nfeat)
         return self
 
     def forward(self, passages: np.ndarray) -> np.ndarray:
         w = self.weights
+        if self.tuned:
+            passages = passages @ w["encoder.w"]
         x = passages @ w["proj.w"] + w["proj.b"]
         x = x - x.mean(axis=1, keepdims=True)
         x = x / np.sqrt((x**2).mean(axis=1, keepdims=True) + 1e-5)
@@ -149,6 +160,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def embed(df: DataFrame, tower: PaperTower | ContextTower, id_col: str, vec_cols: list[str], out: str = "emb") -> DataFrame:
     """(id, unit vector) of every row; Arrow batches go through the tower's forward pass."""
+    ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(tower)
     id_type = df.schema[id_col].dataType.simpleString()
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which dense ids come from one window; above, from a range-partitioned sort.
-WINDOW_IDS = 1_000_000
+from quillmesh.plans.session import stored
 
 
 @dataclass(frozen=True)
@@ -54,15 +54,19 @@ def citation_nodes(triples: DataFrame, v: Vocabulary) -> DataFrame:
 def dense_ids(df: DataFrame, order: list[str], out: str = "id", partition: list[str] | None = None) -> DataFrame:
     """Ids 0, 1, ... in the order of columns; per group where ``partition`` is given.
 
-    Small inputs use a window.  Beyond WINDOW_IDS rows a sort over ranges and ``zipWithIndex``
-    number the rows, so that no single task sees them all.
+    The rows are sorted over ranges and stored with their place in their range; what stands before
+    a range is a sum over the counts of the ranges, one small row each.
     """
     if partition:
         return df.withColumn(out, (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))
-    if df.limit(WINDOW_IDS + 1).count() <= WINDOW_IDS:
-        return df.withColumn(out, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
-    numbered = df.orderBy(*order).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, df.schema.add(out, "long"))
+    place = F.monotonically_increasing_id()  # number of the range in the high bits, place in it in the low 33
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place)
+    ranged = stored(ranged, "ranges").withColumn("__range", F.shiftright("__place", 33))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("n")).orderBy("__range").collect()
+    before = [0, *accumulate(r["n"] for r in counts)][: len(counts)]
+    offsets = df.sparkSession.createDataFrame([(r["__range"], b) for r, b in zip(counts, before, strict=True)], "__range long, __before long")
+    numbered = ranged.join(F.broadcast(offsets), "__range")  # as many rows as the sort had partitions
+    return numbered.select(*df.columns, (F.col("__before") + F.col("__place").bitwiseAND((1 << 33) - 1)).alias(out))
 
 
 def node_index(triples: DataFrame, v: Vocabulary) -> DataFrame:
@@ -94,8 +98,8 @@ def row_degree(df: DataFrame) -> DataFrame:
 
 def row_normalise(df: DataFrame, floor: float = 1e-9) -> DataFrame:
     """Weights over their row's sum, which is never taken below ``floor``."""
-    total: Column = F.sum("w").over(Window.partitionBy("src"))
-    return df.select("src", "dst", (F.col("w") / F.greatest(total, F.lit(floor))).alias("w"))
+    total = row_degree(df).select("src", F.greatest("degree", F.lit(floor)).alias("total"))
+    return df.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("w"))
 
 
 def cocitation(df: DataFrame) -> DataFrame:
@@ -110,6 +114,11 @@ def cocitation(df: DataFrame) -> DataFrame:
     return half.select(sides.alias("e"), "w").select("e.src", "e.dst", "w")
 
 
+def match_subjects(triples: DataFrame, subjects: DataFrame, predicate: str) -> DataFrame:
+    """(s, o) of one predicate with the subject bound to one of ``subjects`` (column s)."""
+    return match(triples, predicate).select("s", "o").join(subjects.select("s").distinct(), "s", "left_semi")
+
+
 def passages(triples: DataFrame, v: Vocabulary) -> DataFrame:
     """(uri, text) of the passages that cite a paper, two hops away; blank ones are left out."""
     from quillmesh.functions.text import has_text, strip

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.functions.text import citation_key, has_text, strip
 from quillmesh.operators.graph import dense_ids
 
+#: Hex digits of the hash that tell the shares of a round: 4,096 of them.
+SHARE_DIGITS = 3
+
 
 def valid(papers: str = "paper_id") -> Column:
     """Non-blank context, a citation type, a group (0 counts) and a known cited paper."""
@@ -54,23 +53,32 @@ def group_split(df: DataFrame, group: str, seed: int = 42, train: float = 0.8, v
     """(group, split): groups in the order of a seeded hash, cut at whole numbers of groups."""
     groups = df.select(group).distinct().withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string"))))
     ranked = dense_ids(groups, ["h", group], "r")
-    n = F.lit(groups.count()).cast("double")
+    n = F.lit(ranked.count()).cast("double")
     cut = F.floor(n * F.lit(train)), F.floor(n * F.lit(val))
     split = F.when(F.col("r") < cut[0], "train").when(F.col("r") < cut[0] + cut[1], "val").otherwise("test")
     return ranked.select(group, split.alias("split"))
 
 
+def _shuffled(seed: int, epoch: int):
+    """Hex digest that orders values of a column at random, anew for every seed and epoch."""
+    return lambda c: F.md5(F.concat(F.lit(f"{seed}:{epoch}:"), F.col(c).cast("string")))
+
+
 def anti_affinity_batches(df: DataFrame, group: str, member: str, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
     """(member, group, round, batch): no batch holds two members of a group.
 
     Members of a group take different rounds; a round's members are cut into batches.  Everything
-    is ordered by a seeded hash.  Each round may leave one short batch.
+    is ordered by a seeded hash.  Each round may leave one short batch.  The members of a round are
+    numbered within shares of the hash, so that a round of all groups is many tasks.
     """
-    salt = f"{seed}:{epoch}:"
-    of = lambda c: F.md5(F.concat(F.lit(salt), F.col(c).cast("string")))
+    of = _shuffled(seed, epoch)
     rounds = df.select(member, group).withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(of(member), member)))
-    place = F.row_number().over(Window.partitionBy("round").orderBy(of(group), group)) - 1
-    return rounds.withColumn("batch", F.floor(place / F.lit(size)).cast("long"))
+    shared = rounds.withColumn("share", F.substring(of(group), 1, SHARE_DIGITS))
+    counts = shared.groupBy("round", "share").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("round").orderBy("share")) - F.col("n")
+    within = F.row_number().over(Window.partitionBy("round", "share").orderBy(of(group), group)) - 1
+    placed = shared.withColumn("within", within).join(counts.select("round", "share", before.alias("before")), ["round", "share"])
+    return placed.select(member, group, "round", F.floor((F.col("before") + F.col("within")) / F.lit(size)).cast("long").alias("batch"))
 
 
 def full_batches(batched: DataFrame, size: int) -> DataFrame:
@@ -84,27 +92,17 @@ def sequential_batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
     return dense_ids(df, order, "pos").withColumn("batch", F.floor(F.col("pos") / F.lit(size)).cast("long"))
 
 
-def greedy_batches(df: DataFrame, group: str, member: str, size: int, seed: int = 42) -> DataFrame:
-    """(member, batch) by the sequential greedy packing, which is one task by its definition.
+def fewest_batches(df: DataFrame, group: str, member: str, size: int, seed: int = 42, epoch: int = 0) -> DataFrame:
+    """(member, group, batch): no batch holds two members of a group, none is over ``size``, and there are as few as can be.
 
-    For inputs that fit a task; :func:`anti_affinity_batches` is the distributed form.
+    That is K batches, the larger of the largest group and of rows / size.  The members are put in
+    an order where a group's stand together, and dealt out in turn: K neighbours meet K batches.
     """
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        queues = [list(rng.permutation(g.to_numpy())) for _, g in sorted(rows.groupby("g")["m"], key=lambda x: x[0])]
-        queues = [queues[k] for k in rng.permutation(len(queues))]
-        batches: list[list] = []
-        while queues:
-            taken = [q.pop() for q in queues[:size]]
-            batches.append(list(rng.permutation(taken)))
-            queues = [q for q in queues if q]
-        order = rng.permutation(len(batches))
-        return pd.DataFrame([(m, b) for b, k in enumerate(order) for m in batches[k]], columns=["m", "batch"])
-
-    kinds = dict(df.dtypes)
-    packed = df.select(F.col(group).alias("g"), F.col(member).alias("m")).groupBy(F.lit(0).alias("all")).applyInPandas(lambda key, rows: pack(rows), f"m {kinds[member]}, batch long")
-    return packed.withColumnRenamed("m", member)
+    of = _shuffled(seed, epoch)
+    ordered = dense_ids(df.select(member, group).withColumns({"hg": of(group), "hm": of(member)}), ["hg", group, "hm", member], "pos")
+    rows, largest = ordered.groupBy(group).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    number = max(largest, -(-rows // size), 1)
+    return ordered.select(member, group, (F.col("pos") % number).alias("batch"))
 
 
 def pad(df: DataFrame, batch: str, ids: str) -> DataFrame:
@@ -113,16 +111,3 @@ def pad(df: DataFrame, batch: str, ids: str) -> DataFrame:
     gap = F.array_repeat(F.lit(0), (longest - F.size(ids)).cast("int"))
     mask = F.concat(F.transform(ids, lambda x: F.lit(1)), gap)
     return df.withColumns({"input_ids": F.concat(ids, gap), "attention_mask": mask})
-
-
-def tokenise(df: DataFrame, id_col: str, text_col: str, limit: int = 256) -> DataFrame:
-    """(id, tokens) without padding, by the hashing tokenizer."""
-    from quillmesh.functions.encode import tokenise as own
-
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({id_col: batch[id_col], "tokens": [own(t, limit) for t in batch[text_col]]})
-
-    return df.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {id_type}, tokens array<int>")

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from quillmesh.functions.text import first_line, or_else
 from quillmesh.functions.towers import matrix, unit
 from quillmesh.functions.vectors import dot, double, l2_normalise
+from quillmesh.plans.session import ship
 
 #: Candidates (8 bytes a component) that may be broadcast.
 BROADCAST_BYTES = 64_000_000
-#: Rows of a candidate block in the grid.
+#: Rows of a block of queries or candidates in the grid.
 BLOCK = 16_384
 #: Similarities are compared at this precision, so that ties don't hang on the order of a sum.
 DIGITS = 10
@@ -41,6 +42,7 @@ def _candidate_blocks(candidates: DataFrame) -> tuple[str, object, int]:
 
 def _over_candidates(queries: DataFrame, candidates: DataFrame, reduce, schema: str) -> DataFrame:
     """``reduce(ids, vectors, batch)`` over every (query batch, candidate block)."""
+    ship(queries.sparkSession)
     kind, held, _ = _candidate_blocks(candidates)
     if kind == "broadcast":
         sent = queries.sparkSession.sparkContext.broadcast(held)
@@ -51,17 +53,30 @@ def _over_candidates(queries: DataFrame, candidates: DataFrame, reduce, schema:
                     yield from reduce(*sent.value, batch.slice(lo, 256))
 
         return queries.mapInArrow(flat, schema)
-    spread = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(held - 1))))
-    dealt = candidates.select(F.col("paper_id").cast("long").alias("paper_id"), double(F.col("emb")).alias("emb"), F.pmod(F.xxhash64("paper_id"), F.lit(held)).cast("int").alias("block"))
+    # A cell of the grid holds one block of queries and one of candidates, whatever their numbers.
+    across = max(1, -(-queries.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    spread = queries.withColumn("row", own("query_id", across)).withColumn("col", every(held))
+    dealt = candidates.select(F.col("paper_id").cast("long").alias("paper_id"), double(F.col("emb")).alias("emb"), own("paper_id", held).alias("col")).withColumn("row", every(across))
+    empty = _empty(schema)
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return empty
         vectors = unit(matrix(right.column("emb").combine_chunks()))
         out = []
-        for batch in left.drop_columns("block").combine_chunks().to_batches(256):
+        for batch in left.drop_columns(["row", "col"]).combine_chunks().to_batches(256):
             out += reduce(right.column("paper_id").to_numpy(), vectors, batch)
-        return pa.Table.from_batches(out)
+        return pa.Table.from_batches(out) if out else empty
 
-    return spread.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(cell, schema)
+    return spread.groupBy("row", "col").cogroup(dealt.groupBy("row", "col")).applyInArrow(cell, schema)
+
+
+def _empty(schema: str) -> pa.Table:
+    """A table without rows of a schema of long and double columns."""
+    fields = [f.split() for f in schema.split(",")]
+    return pa.table({name: pa.array([], {"long": pa.int64(), "double": pa.float64()}[kind]) for name, kind in fields})
 
 
 def with_target(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -129,6 +144,12 @@ def pick_titles(titles: DataFrame) -> DataFrame:
     return best.select("uri", "x.title")
 
 
+def with_uri(results: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Results with the paper's URI; a paper that the index doesn't know is called by its id."""
+    known = nodes.select(F.col("id").alias("paper_id"), "uri")
+    return results.join(known, "paper_id", "left").withColumn("uri", F.coalesce("uri", F.concat(F.lit("id:"), F.col("paper_id").cast("string"))))
+
+
 def with_metadata(results: DataFrame, titles: DataFrame, abstracts: DataFrame, digits: int = 4) -> DataFrame:
     """Results with a title: the paper's, else the first line of its abstract, else a placeholder."""
     named = results.join(titles.select(F.col("id").alias("paper_id"), "title"), "paper_id", "left").join(abstracts.select(F.col("id").alias("paper_id"), "text"), "paper_id", "left")

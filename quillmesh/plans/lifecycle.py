@@ -6,7 +6,6 @@ import json
 from collections.abc import Callable
 from typing import Any
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +14,7 @@ from quillmesh.functions.text import strip
 from quillmesh.functions.towers import ContextTower, PaperTower, embed
 from quillmesh.operators import graph, metrics, propagate, records, retrieval
 
-Encoder = Callable[[list], np.ndarray]
+Encoder = Callable[[DataFrame, str, str, str], DataFrame]
 
 
 def load_config(path: str) -> dict[str, Any]:
@@ -36,8 +35,9 @@ def build_graph(triples: DataFrame, v: graph.Vocabulary) -> dict[str, DataFrame]
     }
 
 
-def build_features(triples: DataFrame, contexts: DataFrame, abstracts: DataFrame, v: graph.Vocabulary, position: str, width: int = 64, encoder: Encoder = hashed_bag) -> dict[str, DataFrame]:
+def build_features(triples: DataFrame, contexts: DataFrame, abstracts: DataFrame, v: graph.Vocabulary, position: str, width: int = 64, encoder: Encoder | None = None) -> dict[str, DataFrame]:
     """(id, vec) tables per metapath key.  Citing-passage vectors are kept as ``C``."""
+    encoder = encoder or hashed_bag(width)
     built = build_graph(triples, v)
     papers = built["nodes"].where("kind = 'paper'")
     citations = built["nodes"].where("kind = 'citation'")
@@ -67,9 +67,9 @@ def build_index(tower: PaperTower, features: dict[str, DataFrame], ids: DataFram
     return embed(joined, tower, "id", tower.feat_keys).withColumnRenamed("id", "paper_id")
 
 
-def embed_contexts(tower: ContextTower, texts: DataFrame, id_col: str, text_col: str, encoder: Encoder = hashed_bag) -> DataFrame:
+def embed_contexts(tower: ContextTower, texts: DataFrame, id_col: str, text_col: str, encoder: Encoder | None = None) -> DataFrame:
     """(query_id, emb) of passages."""
-    return embed(encode(texts, id_col, text_col, encoder), tower, id_col, ["vec"]).withColumnRenamed(id_col, "query_id")
+    return embed(encode(texts, id_col, text_col, encoder or hashed_bag(tower.nfeat)), tower, id_col, ["vec"]).withColumnRenamed(id_col, "query_id")
 
 
 def evaluate(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -80,11 +80,13 @@ def evaluate(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return metrics.ranking_metrics(ranks).join(metrics.median_rank(ranks)).join(left_out).join(total)
 
 
-def recommend(spark: SparkSession, text: str, tower: ContextTower, index: DataFrame, titles: DataFrame, abstracts: DataFrame, topk: int = 10, encoder: Encoder = hashed_bag) -> DataFrame:
-    """(rank, score, paper_id, title) of the papers to cite for one passage."""
+def recommend(spark: SparkSession, text: str, tower: ContextTower, index: DataFrame, titles: DataFrame, abstracts: DataFrame, topk: int = 10, encoder: Encoder | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(rank, score, paper_id, title) of the papers to cite for one passage, and their uri where ``nodes`` tells it."""
     query = embed_contexts(tower, spark.createDataFrame([(0, text.strip())], "query_id long, text string"), "query_id", "text", encoder)
     found = retrieval.with_metadata(retrieval.top_k(query, index, topk), titles, abstracts)
-    return found.select("rank", "score", "paper_id", "title").orderBy("rank")
+    if nodes is None:
+        return found.select("rank", "score", "paper_id", "title").orderBy("rank")
+    return retrieval.with_uri(found, nodes).select("rank", "score", "paper_id", "uri", "title").orderBy("rank")
 
 
 def interactive(ask: Callable[[str], str], answer: Callable[[str], None]) -> int:

@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text, vectors
-from quillmesh.functions.encode import encode
+from quillmesh.functions.encode import encode, tokenise
 from quillmesh.functions.towers import ContextTower, PaperTower, embed
 from quillmesh.operators import graph, metrics, propagate, records, retrieval
+from quillmesh.plans import lifecycle
 from quillmesh.sources import json_maps, turtle
 
 WIDTH = 64
@@ -320,7 +321,7 @@ def record_filter_counts(spark: SparkSession, d: str) -> DataFrame:
     return records.record_counts(_contexts(spark, d), _papers(spark, d))
 
 
-@query(f"""WITH {_SQL_CONTEXTS}, cit AS (SELECT DISTINCT 'u:/citation/c' || conv_id || '/' || turn AS uri, conv_id * 100 + turn AS id FROM conversations WHERE conv_id % 2 = 0)
+@query(f"""WITH {_SQL_CONTEXTS}, cit AS (SELECT DISTINCT 'u:/citation/c' || conv_id || '/' || turn AS uri, conv_id * 100 + turn AS id FROM conversations)
 SELECT cit.id, arg_max(trim(context), conv_id) AS text FROM ctx JOIN cit ON cit.uri = replace(citing_uri, '/paper/', '/citation/') || '/' || citing_idx
 WHERE regexp_matches(context, '[^ \\t\\n\\r\\f\\v]') GROUP BY 1""")
 def derived_key_join(spark: SparkSession, d: str) -> DataFrame:
@@ -389,7 +390,7 @@ def sequential_batches(spark: SparkSession, d: str) -> DataFrame:
     return records.sequential_batches(_members(spark, d).select("member"), ["member"], 32)
 
 
-@query("""WITH t AS (SELECT doc_id, doc_id // 16 AS batch, list_slice(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w)), 1, 64) AS tokens FROM documents),
+@query("""WITH t AS (SELECT doc_id, doc_id // 16 AS batch, list_slice(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w)), 1, 256) AS tokens FROM documents),
 p AS (SELECT doc_id, batch, tokens, max(len(tokens)) OVER (PARTITION BY batch) AS longest FROM t)
 SELECT doc_id, CAST(unnest(range(longest)) AS INTEGER) AS pos, CAST(coalesce(unnest(list_resize(tokens, longest, 0)), 0) AS INTEGER) AS input_id,
   CAST(unnest(list_transform(range(longest), lambda i: CASE WHEN i < len(tokens) THEN 1 ELSE 0 END)) AS INTEGER) AS mask FROM p""")
@@ -454,7 +455,7 @@ def mean_loss(spark: SparkSession, d: str) -> DataFrame:
     return metrics.mean_loss(_table(spark, d, "events").select(loss.alias("loss"))).select(F.round("mean_loss", 6).alias("mean_loss"))
 
 
-# --- sources, encoders and towers: rows only ---------------------------------------------------
+# --- sources ---------------------------------------------------------------------------------
 
 
 def _folder(spark: SparkSession) -> str:
@@ -464,7 +465,13 @@ def _folder(spark: SparkSession) -> str:
     return scratch(spark)
 
 
-@query()
+_SQL_INDEX = f"""{_SQL_TRIPLES}, uris AS (SELECT s AS uri FROM t WHERE p = 'cites' UNION SELECT o FROM t WHERE p = 'cites'),
+cits AS (SELECT DISTINCT s AS uri FROM t WHERE p IN ('hasCited', 'hasCiting')),
+ids AS (SELECT 'paper' AS kind, uri, CAST(row_number() OVER (ORDER BY uri) - 1 AS INTEGER) AS id FROM uris
+  UNION ALL SELECT 'citation', uri, CAST(row_number() OVER (ORDER BY uri) - 1 AS INTEGER) FROM cits)"""
+
+
+@query(f"WITH {_SQL_INDEX} SELECT * FROM ids")
 def json_sources(spark: SparkSession, d: str) -> DataFrame:
     """The node index written as JSON and read again."""
     path = f"{_folder(spark)}/node_index"
@@ -472,7 +479,41 @@ def json_sources(spark: SparkSession, d: str) -> DataFrame:
     return json_maps.read_node_index(spark, path)
 
 
-@query()
+@query(f"WITH {_SQL_INDEX} SELECT id, uri FROM ids WHERE kind = 'paper'")
+def uri_list_source(spark: SparkSession, d: str) -> DataFrame:
+    """The papers' URIs written as a JSON list and read again."""
+    path = f"{_folder(spark)}/uris"
+    json_maps.write_uri_list(graph.dense_ids(graph.paper_nodes(_triples(spark, d), VOCABULARY), ["uri"]), path)
+    return json_maps.read_uri_list(spark, path)
+
+
+@query("SELECT 'u:/paper/p' || l_partkey AS uri, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1")
+def counts_source(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts per paper written as a JSON object and read again."""
+    path = f"{_folder(spark)}/counts"
+    uri = F.concat(F.lit("u:/paper/p"), F.col("l_partkey").cast("string")).alias("uri")
+    json_maps.write_counts(_table(spark, d, "lineitem").groupBy(uri).agg(F.count("*").alias("n")), path)
+    return json_maps.read_counts(spark, path)
+
+
+@query("SELECT 'u:/paper/' || doc_id AS uri, text FROM documents")
+def text_map_source(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as JSON objects of uri and text, a file for each part of the table, read again."""
+    path = f"{_folder(spark)}/texts"
+    entry = F.map_from_arrays(F.array(F.concat(F.lit("u:/paper/"), F.col("doc_id").cast("string"))), F.array("text"))
+    _table(spark, d, "documents").select(F.to_json(entry).alias("value")).write.mode("overwrite").text(path)
+    return json_maps.read_text_lines(spark, path)
+
+
+@query(f"WITH {_SQL_CONTEXTS} SELECT context, cited_uri, citing_uri, citing_idx, citation_type, CAST(context_group_id AS BIGINT) AS context_group_id FROM ctx")
+def contexts_source(spark: SparkSession, d: str) -> DataFrame:
+    """Citation records written as JSON and read again; null fields are missing keys."""
+    path = f"{_folder(spark)}/contexts"
+    json_maps.write_records(_contexts(spark, d).select("context", "cited_uri", "citing_uri", "citing_idx", "citation_type", "context_group_id"), path)
+    return json_maps.read_context_lines(spark, path)
+
+
+@query(f"WITH {_SQL_TRIPLES} SELECT s, 'u:cites' AS p, o, 'iri' AS o_kind, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS dtype FROM t WHERE p = 'cites'")
 def turtle_source(spark: SparkSession, d: str) -> DataFrame:
     """The suppliers' citations written as Turtle and read again."""
     path = f"{_folder(spark)}/graph"
@@ -481,30 +522,151 @@ def turtle_source(spark: SparkSession, d: str) -> DataFrame:
     return turtle.read_turtle(spark, f"{path}/*.txt")
 
 
-@query()
-def hash_encoder(spark: SparkSession, d: str) -> DataFrame:
-    return encode(_table(spark, d, "documents"), "doc_id", "text")
+@query("SELECT p_partkey AS id, 'u:/paper/' || p_partkey AS uri FROM part WHERE p_partkey NOT IN (SELECT doc_id FROM documents WHERE regexp_matches(coalesce(text, ''), '[^ \\t\\n\\r\\f\\v]'))")
+def missing_texts(spark: SparkSession, d: str) -> DataFrame:
+    texts = _table(spark, d, "documents").select(F.concat(F.lit("u:/paper/"), F.col("doc_id").cast("string")).alias("uri"), "text")
+    return propagate.missing_texts(_papers(spark, d), texts)
 
 
-@query()
-def paper_tower_forward(spark: SparkSession, d: str) -> DataFrame:
-    p = _features(spark, d)
-    parts = p.select("id")
-    pccon = propagate.assemble(parts, propagate.metapath_pcp(_cited(spark, d), p, WIDTH), WIDTH)
-    tower = PaperTower(["P", "PCP"], WIDTH, 32, 16, act="leaky_relu").initialise()
-    return embed(p.withColumnRenamed("vec", "P").join(pccon.withColumnRenamed("vec", "PCP"), "id"), tower, "id", tower.feat_keys)
+@query("SELECT 'u:/s' || l_suppkey AS uri, trim(p_name) AS text FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey")
+def two_hop_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier -> part -> its name, as paper -> citation node -> passage."""
+    lines = _table(spark, d, "lineitem").select(F.concat(F.lit("u:/s"), F.col("l_suppkey").cast("string")).alias("s"), F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("o")).distinct()
+    names = _table(spark, d, "part").select(F.concat(F.lit("n"), F.col("p_partkey").cast("string")).alias("s"), F.col("p_name").alias("o"))
+    triples = lines.select("s", F.lit("hasCitationContext").alias("p"), "o").unionAll(names.select("s", F.lit("hasContext").alias("p"), "o"))
+    return graph.passages(triples, VOCABULARY)
 
 
-@query()
-def context_tower_forward(spark: SparkSession, d: str) -> DataFrame:
-    return embed(encode(_table(spark, d, "documents"), "doc_id", "text"), ContextTower(WIDTH, 16).initialise(), "doc_id", ["vec"])
+@query(f"WITH {_SQL_TRIPLES} SELECT s, o FROM t WHERE p = 'hasCited' AND s IN (SELECT 'u:/citation/o' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def subject_bound_match(spark: SparkSession, d: str) -> DataFrame:
+    subjects = _table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("u:/citation/o"), F.col("o_orderkey").cast("string")).alias("s"))
+    return graph.match_subjects(_triples(spark, d), subjects, "hasCited")
+
+
+# --- metapaths, results and datasets ----------------------------------------------------------
+
+
+@query(f"""WITH {_SQL_VALUES}, sp AS (SELECT l_suppkey AS src, l_partkey AS dst, CAST(count(*) AS DOUBLE) AS w FROM lineitem GROUP BY 1, 2),
+ps AS (SELECT dst AS src, src AS dst, w FROM sp), dims AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS dim),
+one AS (SELECT sp.src, dim, sum(w * x) / greatest((SELECT sum(w) FROM sp z WHERE z.src = sp.src), 1e-9) AS x FROM sp JOIN vals ON dst = vals.id GROUP BY 1, 2),
+two AS (SELECT ps.src, dim, sum(w * x) AS x FROM ps JOIN one ON ps.dst = one.src GROUP BY 1, 2), deg AS (SELECT src, greatest(sum(w), 1e-9) AS degree FROM ps GROUP BY 1)
+SELECT deg.src AS id, dims.dim, round(coalesce(x, 0) / degree, 6) + 0.0 AS value FROM deg CROSS JOIN dims LEFT JOIN two ON two.src = deg.src AND two.dim = dims.dim""")
+def metapath_two_hops(spark: SparkSession, d: str) -> DataFrame:
+    """Parts by the mean over their suppliers of the mean over those suppliers' parts: a chain of two steps, as in PPP."""
+    own = graph.coalesce_edges(_table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit(1.0).alias("w")))
+    return vectors.explode_vector(propagate.metapath([graph.transpose(own), own], _features(spark, d), WIDTH), ["id"])
+
+
+@query(f"""WITH a AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)
+SELECT a.id, CAST(unnest(range(len(a.v))) AS INTEGER) AS dim, round(unnest(list_transform(range(1, len(a.v) + 1), lambda i: (a.v[i] + b.v[i] + c.v[i]) / 3)), 6) + 0.0 AS value
+FROM a JOIN a b ON b.id = a.id + 1 JOIN a c ON c.id = a.id + 2""")
+def mean_over_metapaths(spark: SparkSession, d: str) -> DataFrame:
+    f = _features(spark, d)
+    keyed = lambda k: f.select((F.col("id") - k).alias("id"), F.col("vec").alias(f"v{k}"))
+    joined = f.join(keyed(1), "id").join(keyed(2), "id")
+    return vectors.explode_vector(joined.select("id", vectors.mean_of(F.col("vec"), F.col("v1"), F.col("v2")).alias("vec")), ["id"])
+
+
+@query(f"""WITH {_SQL_TOP} SELECT query_id, rank, round(score, 4) AS score, paper_id, CASE WHEN p_partkey IS NULL THEN 'id:' || paper_id ELSE 'u:/paper/' || p_partkey END AS uri
+FROM top LEFT JOIN part ON p_partkey = paper_id AND p_size > 10""")
+def topk_with_uri(spark: SparkSession, d: str) -> DataFrame:
+    known = _table(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("u:/paper/"), F.col("p_partkey").cast("string")).alias("uri"), F.col("p_partkey").alias("id"))
+    found = retrieval.top_k(_queries(spark, d), _candidates(spark, d), 10).withColumn("score", F.round("score", 4))
+    return retrieval.with_uri(found, known).select("query_id", "rank", "score", "paper_id", "uri")
+
 
+@query(f"""WITH {_SQL_CONTEXTS}, g AS (SELECT DISTINCT citing_uri FROM res WHERE valid), r AS (SELECT citing_uri, row_number() OVER (ORDER BY md5('42:' || citing_uri), citing_uri) - 1 AS r, count(*) OVER () AS n FROM g),
+s AS (SELECT citing_uri, CASE WHEN r < floor(n * 0.8::DOUBLE) THEN 'train' WHEN r < floor(n * 0.8::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM r)
+SELECT trim(context) AS context_text, paper_id AS cited_paper_id, citing_uri, split FROM res JOIN s USING (citing_uri) WHERE valid""")
+def datasets(spark: SparkSession, d: str) -> DataFrame:
+    """Valid records with the split of their citing paper."""
+    return lifecycle.build_datasets(_contexts(spark, d), _papers(spark, d)).select("context_text", "cited_paper_id", "citing_uri", "split")
 
-@query()
-def greedy_batches(spark: SparkSession, d: str) -> DataFrame:
-    return records.greedy_batches(_members(spark, d), "conv_id", "member", 32)
 
+@query(f"""WITH {_SQL_MEMBERS}, n AS (SELECT greatest(max(c), ceil(sum(c) / 32.0)) AS k FROM (SELECT count(*) AS c FROM m GROUP BY conv_id)),
+p AS (SELECT *, row_number() OVER (ORDER BY md5('42:0:' || conv_id), conv_id, md5('42:0:' || member), member) - 1 AS pos FROM m)
+SELECT member, conv_id, CAST(pos % k AS BIGINT) AS batch FROM p CROSS JOIN n""")
+def fewest_batches(spark: SparkSession, d: str) -> DataFrame:
+    return records.fewest_batches(_members(spark, d), "conv_id", "member", 32)
 
-@query()
+
+@query(f"WITH {_SQL_BATCHES} SELECT member, conv_id, round, CAST(batch AS BIGINT) AS batch FROM ba".replace("42:0:", "42:3:"))
+def batches_of_an_epoch(spark: SparkSession, d: str) -> DataFrame:
+    """The batches of epoch 3: another order than that of epoch 0."""
+    return records.anti_affinity_batches(_members(spark, d), "conv_id", "member", 32, epoch=3)
+
+
+# --- encoders and towers ------------------------------------------------------------------------
+
+_SQL_TOKENS = """words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS w FROM documents),
+tok AS (SELECT doc_id, list_transform(w, lambda x: CAST(('0x' || substring(md5(x), 1, 8))::BIGINT % 30000 + 1 AS INTEGER)) AS ids FROM words)"""
+_SQL_BAG = f"""{_SQL_TOKENS}, each AS (SELECT doc_id, unnest(ids) AS i FROM tok),
+summed AS (SELECT doc_id, i % 64 AS dim, sum(CASE WHEN (i // 64) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS x FROM each GROUP BY 1, 2),
+norms AS (SELECT doc_id, greatest(sqrt(sum(x * x)), 1e-12) AS n FROM summed GROUP BY 1),
+bag AS (SELECT doc_id AS id, dim, x / n AS x FROM summed JOIN norms USING (doc_id))"""
+
+
+def _values(name: str, matrix) -> str:
+    """A matrix of weights as a table (i, o, w) of literal rows; a vector has one row."""
+    rows = matrix.reshape(-1, matrix.shape[-1])
+    return f"{name}(i, o, w) AS (VALUES " + ", ".join(f"({i}, {o}, {float(w)!r}::DOUBLE)" for i, row in enumerate(rows) for o, w in enumerate(row)) + ")"
+
+
+def _sql_affine(rows: str, w: str, b: str, keys: str) -> str:
+    """(keys, dim, x) of rows (keys, dim, x) times a matrix plus a vector; rows may leave zeros out, the keys come from ``keys``."""
+    on = " AND ".join(f"k.{c} = r.{c}" for c in keys.split(", "))
+    own = ", ".join(f"k.{c}" for c in keys.split(", "))
+    return f"""SELECT {own}, b.o AS dim, any_value(b.w) + coalesce(sum(r.x * m.w), 0) AS x FROM (SELECT DISTINCT {keys} FROM keys_{rows}) k CROSS JOIN {b} b
+  LEFT JOIN {rows} r ON {on} LEFT JOIN {w} m ON m.i = r.dim AND m.o = b.o GROUP BY {own}, b.o"""
+
+
+CONTEXT_TOWER = ContextTower(WIDTH, 16).initialise()
+PAPER_TOWER = PaperTower(["P", "PCP"], WIDTH, 32, 16, act="leaky_relu").initialise()
+PAPER_TOWER.weights["gamma"][:] = 0.5  # a fresh tower's attention adds nothing
+
+_CW, _PW = CONTEXT_TOWER.weights, PAPER_TOWER.weights
+_SQL_CONTEXT_TOWER = f"""WITH {_SQL_BAG}, {_values('pw', _CW['proj.w'])}, {_values('pb', _CW['proj.b'])}, keys_bag AS (SELECT doc_id AS id FROM documents),
+lin AS ({_sql_affine('bag', 'pw', 'pb', 'id')}),
+cen AS (SELECT id, dim, x - avg(x) OVER (PARTITION BY id) AS x FROM lin), nor AS (SELECT id, dim, x / sqrt(avg(x * x) OVER (PARTITION BY id) + 1e-5) AS x FROM cen)
+SELECT id AS doc_id, CAST(dim AS INTEGER) AS dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-12), 6) + 0.0 AS value FROM nor"""
+
+_SQL_PAPER_TOWER = f"""WITH {_SQL_EDGES}, {_SQL_VALUES}, deg AS (SELECT src, sum(w) AS d FROM co GROUP BY 1), {_SQL_COCITED},
+pcp AS (SELECT co.src AS id, dim, sum(w * x) / any_value(d) AS x FROM co JOIN vals ON vals.id = co.dst JOIN deg ON deg.src = co.src WHERE co.src IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2),
+f AS (SELECT id, 0 AS m, dim, x FROM vals UNION ALL SELECT id, 1, dim, x FROM pcp), keys_f AS (SELECT vec_id AS id, m FROM embeddings CROSS JOIN (VALUES (0), (1)) t(m)),
+{', '.join(_values(f'{n[0]}w', _PW[f'{n}.w']) + ', ' + _values(f'{n[0]}b', _PW[f'{n}.b']) for n in ('query', 'key', 'value'))},
+{_values('cw', _PW['concat.w'])}, {_values('cb', _PW['concat.b'])}, {_values('rw', _PW['residual.w'])}, {_values('hw', _PW['head.w'])}, {_values('hb', _PW['head.b'])},
+q AS ({_sql_affine('f', 'qw', 'qb', 'id, m')}), k AS ({_sql_affine('f', 'kw', 'kb', 'id, m')}), v AS ({_sql_affine('f', 'vw', 'vb', 'id, m')}),
+raw AS (SELECT q.id, q.m, k.m AS n, sum(q.x * k.x) / sqrt(64) AS s FROM q JOIN k ON k.id = q.id AND k.dim = q.dim GROUP BY 1, 2, 3),
+act AS (SELECT id, m, n, exp(CASE WHEN s > 0 THEN s ELSE 0.2 * s END) AS e FROM raw), att AS (SELECT id, m, n, e / sum(e) OVER (PARTITION BY id, m) AS a FROM act),
+mix AS (SELECT att.id, att.m, v.dim, 0.5 * sum(a * v.x) AS x FROM att JOIN v ON v.id = att.id AND v.m = att.n GROUP BY 1, 2, 3),
+flat AS (SELECT mix.id, mix.m * 64 + mix.dim AS dim, mix.x + coalesce(f.x, 0) AS x FROM mix LEFT JOIN f ON f.id = mix.id AND f.m = mix.m AND f.dim = mix.dim),
+keys_flat AS (SELECT vec_id AS id FROM embeddings), fused AS ({_sql_affine('flat', 'cw', 'cb', 'id')}),
+plain AS (SELECT id, dim, sum(x) / 2 AS x FROM f GROUP BY 1, 2), skip AS (SELECT id, o AS dim, sum(x * w) AS x FROM plain JOIN rw ON rw.i = plain.dim GROUP BY 1, 2),
+both_ways AS (SELECT fused.id, fused.dim, fused.x + coalesce(skip.x, 0) AS x FROM fused LEFT JOIN skip ON skip.id = fused.id AND skip.dim = fused.dim), keys_both_ways AS (SELECT id FROM keys_flat),
+head AS ({_sql_affine('both_ways', 'hw', 'hb', 'id')})
+SELECT id, CAST(dim AS INTEGER) AS dim, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY id)), 1e-12), 6) + 0.0 AS value FROM head""".replace(f"deg AS (SELECT src, sum(w) AS d FROM co GROUP BY 1), {_SQL_COCITED}", f"{_SQL_COCITED}, deg AS (SELECT src, sum(w) AS d FROM co GROUP BY 1)")
+
+
+@query(f"WITH {_SQL_TOKENS} SELECT doc_id, CAST(unnest(range(least(len(ids), 256))) AS INTEGER) AS pos, unnest(ids[1:256]) AS token FROM tok")
 def tokenised(spark: SparkSession, d: str) -> DataFrame:
-    return records.tokenise(_table(spark, d, "documents"), "doc_id", "text")
+    return tokenise(_table(spark, d, "documents"), "doc_id", "text").select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+
+
+@query(f"WITH {_SQL_BAG}, dims AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS dim) SELECT doc_id, dims.dim, round(coalesce(x, 0), 6) + 0.0 AS value FROM documents CROSS JOIN dims LEFT JOIN bag ON bag.id = doc_id AND bag.dim = dims.dim")
+def hash_encoder(spark: SparkSession, d: str) -> DataFrame:
+    return vectors.explode_vector(encode(_table(spark, d, "documents"), "doc_id", "text"), ["doc_id"])
+
+
+@query(_SQL_PAPER_TOWER)
+def paper_tower_forward(spark: SparkSession, d: str) -> DataFrame:
+    p = _features(spark, d)
+    parts = p.select("id")
+    pcp = propagate.assemble(parts, propagate.metapath_pcp(_cited(spark, d), p, WIDTH), WIDTH)
+    made = embed(p.withColumnRenamed("vec", "P").join(pcp.withColumnRenamed("vec", "PCP"), "id"), PAPER_TOWER, "id", PAPER_TOWER.feat_keys)
+    return vectors.explode_vector(made, ["id"], "emb")
+
+
+@query(_SQL_CONTEXT_TOWER)
+def context_tower_forward(spark: SparkSession, d: str) -> DataFrame:
+    made = embed(encode(_table(spark, d, "documents"), "doc_id", "text"), CONTEXT_TOWER, "doc_id", ["vec"])
+    return vectors.explode_vector(made, ["doc_id"], "emb")

@@ -15,4 +15,5 @@ def metrics_report(metrics: DataFrame, distribution: DataFrame) -> str:
 
 def results_report(results: DataFrame, width: int = 80) -> str:
     """Rank, score and title of a result list in order."""
-    return "\n".join(f"{r['rank']:>3}  {r.score:.4f}  {r.title[:width]}" for r in results.orderBy("rank").collect())
+    uri = "uri" in results.columns
+    return "\n".join(f"{r['rank']:>3}  {r.score:.4f}  {r.title[:width]}" + (f"  <{r.uri}>" if uri else "") for r in results.orderBy("rank").collect())

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,3 +36,10 @@ def scratch(spark: SparkSession) -> str:
     if not shared and not is_local(spark):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{(shared or tempfile.mkdtemp(prefix='quillmesh-')).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, so that every later step sees the same rows in the same places."""
+    path = f"{scratch(df.sparkSession)}-{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,16 +7,19 @@ splittable: one file is one task; convert large graphs to Parquet once.
 
 from __future__ import annotations
 
-import glob
+import fnmatch
 import os
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quillmesh.plans.session import ship
+
 SCHEMA = "s string, p string, o string, o_kind string, lang string, dtype string"
 _RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 _XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -239,6 +242,7 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
                 scope = os.path.basename(name) + "/"
                 yield _columns(parse_turtle(raw.decode("utf-8"), scope))
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, SCHEMA).dropDuplicates()
 
@@ -257,17 +261,26 @@ class TurtleSource(DataSource):
         return _TurtleReader(self.options["path"])
 
 
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path (a URI of any kind that Arrow knows, or a plain path) and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 class _TurtleReader(DataSourceReader):
     def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        found = [self.path] if os.path.isfile(self.path) else glob.glob(f"{self.path}/*.ttl") or glob.glob(self.path)
-        return [InputPartition(p) for p in sorted(found)]
+        store, path = _file_system(self.path)
+        folder, _, pattern = path.rpartition("/") if re.search(r"[*?]", path) else (path, "", "*.ttl")
+        if store.get_file_info(path).type == fs.FileType.File:
+            return [InputPartition(path)]
+        found = store.get_file_info(fs.FileSelector(folder or "."))
+        return [InputPartition(f.path) for f in sorted(found, key=lambda f: f.path) if f.is_file and fnmatch.fnmatch(f.base_name, pattern)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as f:
-            yield from (tuple(t) for t in parse_turtle(f.read(), os.path.basename(partition.value) + "/"))
+        with _file_system(self.path)[0].open_input_stream(partition.value) as f:
+            yield from (tuple(t) for t in parse_turtle(f.read().decode("utf-8"), os.path.basename(partition.value) + "/"))
 
 
 def register(spark: SparkSession) -> None:

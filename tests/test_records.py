@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillmesh.functions import towers, vectors
-from quillmesh.functions.encode import encode, hashed_bag
+from quillmesh.functions.encode import bag, encode, from_texts, hashed_bag, precomputed
 from quillmesh.operators import metrics, records, retrieval
 from quillmesh.plans import lifecycle
 from quillmesh.streaming.score import score_stream
@@ -44,16 +44,27 @@ def test_split_is_disjoint_and_stable(spark):
     assert one == two and sorted(one.values()).count("train") == 40 and sorted(one.values()).count("val") == 5
 
 
-@pytest.mark.parametrize("greedy", [False, True])
-def test_no_batch_repeats_a_group(spark, greedy):
+@pytest.mark.parametrize("fewest", [False, True])
+def test_no_batch_repeats_a_group(spark, fewest):
     rows = [(0, 1), (1, 1), (2, 1), (3, 2), (4, 3), (5, 3)]
     df = spark.createDataFrame(rows, "m long, g long")
-    got = records.greedy_batches(df, "g", "m", 2) if greedy else records.anti_affinity_batches(df, "g", "m", 2)
+    got = (records.fewest_batches if fewest else records.anti_affinity_batches)(df, "g", "m", 2).collect()
     held = defaultdict(list)
-    for r in got.collect():
-        held[(r.batch, 0 if greedy else r.round)].append(dict(rows)[r.m])
-    assert sorted(r.m for r in got.collect()) == list(range(6))
+    for r in got:
+        held[(r.batch, 0 if fewest else r.round)].append(r.g)
+    assert sorted(r.m for r in got) == list(range(6))
     assert len(held) >= 3 and all(len(set(g)) == len(g) <= 2 for g in held.values())
+    assert not fewest or len(held) == 3
+
+
+def test_epochs_are_dealt_anew(spark):
+    df = spark.range(300).select(F.col("id").alias("m"), (F.col("id") % 90).alias("g"))
+    for deal in (records.fewest_batches, records.anti_affinity_batches):
+        kept = [sorted(map(tuple, deal(df.repartition(n), "g", "m", 16, epoch=e).collect())) for n, e in ((3, 0), (5, 0), (3, 1))]
+        assert kept[0] == kept[1] != kept[2]
+    sizes = [r["count"] for r in records.fewest_batches(df, "g", "m", 16).groupBy("batch").count().collect()]
+    assert len(sizes) == 19 and max(sizes) <= 16
+    assert records.fewest_batches(df.limit(0), "g", "m", 16).count() == 0
 
 
 def test_padding(spark):
@@ -123,10 +134,30 @@ def test_tower_sizes_and_identity():
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(max_size=40)), max_size=8))
-def test_hashed_bag_is_total(texts):
-    made = hashed_bag(texts)
-    assert made.shape == (len(texts), 64) and np.isfinite(made).all()
+@given(st.lists(st.lists(st.integers(1, 30_000), max_size=40), max_size=8))
+def test_bag_is_total(rows):
+    made = bag(np.array([i for r in rows for i in r], dtype=np.int64), np.array([len(r) for r in rows], dtype=np.int64), 64)
+    assert made.shape == (len(rows), 64) and np.isfinite(made).all()
+    for row, x in zip(rows, made, strict=True):
+        plain = np.zeros(64)
+        for i in row:
+            plain[i % 64] += 1 if (i // 64) % 2 else -1
+        assert np.allclose(x, plain / max(np.linalg.norm(plain), 1e-12))
+
+
+def test_whole_texts_are_encoded(spark):
+    """A word behind a thousand others counts; a limit leaves it out."""
+    df = spark.createDataFrame([(1, "a " * 1000), (2, "a " * 1000 + "river " * 500)], "id long, t string")
+    whole, cut = ({r.id: r.vec for r in encode(df, "id", "t", e).collect()} for e in (None, hashed_bag(64, 512)))
+    assert whole[1] != whole[2] and cut[1] == cut[2]
+
+
+def test_other_encoders(spark):
+    df = spark.createDataFrame([(1, "x"), (2, "yy"), (3, None)], "id long, t string")
+    lengths = from_texts(lambda texts: np.array([[float(len(t or "")), 1.0] for t in texts]), block=2)
+    assert {r.id: r.vec for r in encode(df, "id", "t", lengths).collect()} == {1: [1, 1], 2: [2, 1], 3: [0, 1]}
+    table = spark.createDataFrame([("x", [1.0, 2.0]), ("z", [3.0, 4.0])], "text string, vec array<double>")
+    assert [tuple(r) for r in encode(df, "id", "t", precomputed(table)).collect()] == [(1, [1, 2])]
 
 
 def test_vector_functions(spark):
@@ -142,6 +173,9 @@ def test_evaluate_and_recommend(spark):
     empty = spark.createDataFrame([], "id long, title string")
     got = lifecycle.recommend(spark, " cooking rice ", tower, index, empty, texts, topk=2).collect()
     assert got[0].paper_id == 1 and got[0].title == "cooking rice" and len(got) == 2
+    nodes = spark.createDataFrame([(1, "b/paper/rice")], "id long, uri string")
+    named = lifecycle.recommend(spark, "cooking rice", tower, index, empty, texts, topk=3, nodes=nodes).collect()
+    assert named[0].uri == "b/paper/rice" and {r.uri for r in named[1:]} == {"id:0", "id:2"}
     queries = index.select(F.col("paper_id").alias("query_id"), F.col("paper_id").alias("cited_paper_id"), "emb")
     r = lifecycle.evaluate(queries, index).first()
     assert r.mrr == 1 and r.n_skipped == 0 and r.total_candidates == 3

@@ -64,11 +64,14 @@ def test_graph_from_triples(spark):
     assert [tuple(r) for r in graph.passages(t, v).collect()] == [("p/d", "says")]
 
 
-def test_dense_ids_beyond_a_window(spark, monkeypatch):
-    df = spark.createDataFrame([(f"u{k:03d}",) for k in range(50)][::-1], "uri string")
-    small = sorted(map(tuple, graph.dense_ids(df, ["uri"]).collect()))
-    monkeypatch.setattr(graph, "WINDOW_IDS", 10)
-    assert sorted(map(tuple, graph.dense_ids(df, ["uri"]).collect())) == small == [(f"u{k:03d}", k) for k in range(50)]
+def test_dense_ids_over_ranges(spark):
+    """Ids follow the order over many ranges, whatever the partitions were; ties and an empty table included."""
+    df = spark.createDataFrame([(f"u{k:04d}", k % 3) for k in range(2000)][::-1], "uri string, n int").repartition(7)
+    assert sorted(map(tuple, graph.dense_ids(df.select("uri"), ["uri"]).collect())) == [(f"u{k:04d}", k) for k in range(2000)]
+    tied = graph.dense_ids(df, ["n", "uri"], "at").collect()
+    assert [r.at for r in sorted(tied, key=lambda r: (r.n, r.uri))] == list(range(2000))
+    assert sorted(r.at for r in graph.dense_ids(df.select("n"), ["n"], "at").collect()) == list(range(2000))
+    assert graph.dense_ids(df.limit(0), ["uri"]).count() == 0
 
 
 def test_json_documents(spark, tmp_path):
