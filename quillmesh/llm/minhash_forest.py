@@ -297,13 +297,18 @@ def oracle_sql() -> str:
     blank = "[ \\t\\n\\x0B\\f\\r]+"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{blank}'), lambda x: x <> '') AS w FROM documents
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '{blank}'), lambda x: x <> '') AS w FROM documents
+), words AS (
+  SELECT r, len(w) AS size, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), grams AS (
+  SELECT r, size, p, string_agg(x, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {SHINGLE - 1} FOLLOWING) AS g FROM words
+), sets AS (
+  SELECT r, list_sort(list(DISTINCT g)) AS s FROM grams WHERE p = 1 OR p <= size - {SHINGLE - 1} GROUP BY r
 ), s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS s FROM w
+  SELECT doc_id, coalesce(s, []) AS s FROM d LEFT JOIN sets USING (r)
 ), n AS (
-  SELECT s, min(doc_id) AS node, len(s) AS size FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s
+  SELECT s, min(doc_id) AS node, len(s) AS size FROM s WHERE len(s) > 0 GROUP BY s
 ), x AS (
   SELECT node, size, unnest(s) AS g FROM n
 ), links AS (
@@ -317,5 +322,5 @@ WITH RECURSIVE w AS (
   SELECT node, min(root) AS root FROM reach GROUP BY node
 )
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(root, s.doc_id) AS component_id, s.doc_id = coalesce(root, s.doc_id) AS kept
-FROM s LEFT JOIN n ON n.s = list_sort(s.s) LEFT JOIN roots ON roots.node = n.node
+FROM s LEFT JOIN n ON n.s = s.s LEFT JOIN roots ON roots.node = n.node
 """

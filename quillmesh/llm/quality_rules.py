@@ -161,9 +161,11 @@ a AS (
   SELECT r, doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w,
          list_filter(string_split(text, chr(10)), lambda x: trim(x, {blanks}) <> '') AS lines FROM d
 ), g AS (
-  SELECT r, unnest(range(1, len(w) - 1)) AS p, w FROM a
+  SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM a
+), u AS (
+  SELECT r, p, x, lead(x, 1) OVER f AS y, lead(x, 2) OVER f AS z FROM g WINDOW f AS (PARTITION BY r ORDER BY p)
 ), t AS (
-  SELECT r, p, count(*) OVER (PARTITION BY r, w[p], w[p + 1], w[p + 2]) AS c FROM g
+  SELECT r, p, count(*) OVER (PARTITION BY r, x, y, z) AS c FROM u WHERE z IS NOT NULL
 ), v AS (
   SELECT r, count(DISTINCT p + k) AS n_repeat_words FROM t CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY r
 ), f AS (

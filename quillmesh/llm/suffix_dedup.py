@@ -341,16 +341,18 @@ def oracle_sql() -> str:
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{blank}'), lambda x: x <> '') AS w FROM documents
-), s AS (
-  SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS p FROM d
-), c AS (
-  SELECT r, p, count(*) OVER (PARTITION BY array_to_string(w[p:p + {WINDOW - 1}], ' ')) AS c FROM s
-), gone AS (
-  SELECT r, list(DISTINCT p + k) AS gone FROM c CROSS JOIN (SELECT unnest(range({WINDOW})) AS k) WHERE c > 1 GROUP BY r
 ), words AS (
   SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d
+), s AS (
+  SELECT r, p, string_agg(x, ' ') OVER f AS win, count(*) OVER f AS n FROM words WINDOW f AS (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)
+), twice AS (
+  SELECT win FROM s WHERE n = {WINDOW} GROUP BY win HAVING count(*) > 1
+), starts AS (
+  SELECT r, p FROM s SEMI JOIN twice USING (win)
+), gone AS (
+  SELECT DISTINCT r, p + k AS p FROM starts CROSS JOIN (SELECT unnest(range({WINDOW})) AS k)
 ), left_over AS (
-  SELECT words.r, list(x ORDER BY words.p) AS kept FROM words LEFT JOIN (SELECT r, unnest(gone) AS p FROM gone) g ON g.r = words.r AND g.p = words.p WHERE g.p IS NULL GROUP BY words.r
+  SELECT r, list(x ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(len(kept), 0) AS BIGINT) AS n_removed, sha256(array_to_string(coalesce(kept, []), ' ')) AS kept_sha256
 FROM d LEFT JOIN left_over USING (r)
