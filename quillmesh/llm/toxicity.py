@@ -106,14 +106,14 @@ def _content(words: list[bytes], size: int) -> bytes:
     return b" ".join([b"", *words[::-1], b""])
 
 
-def fit(toxic_bags: list[list[bytes]], ordinary_bags: list[list[bytes]]) -> Model | None:
-    """Train both dictionaries on two thirds of the texts (their sorted distinct words) and calibrate on the rest."""
+def fit(toxic_bags: list[bytes], ordinary_bags: list[bytes]) -> Model | None:
+    """Train both dictionaries on two thirds of the texts (their sorted distinct words, one space between) and calibrate on the rest."""
     if not toxic_bags or not ordinary_bags:
         return None
     # Words are numbered, so that a text is a small array and not a set of strings.
     number: dict[bytes, int] = {}
-    bags = [[np.array([number.setdefault(w, len(number)) for w in bag], dtype=np.int32) for bag in some] for some in (toxic_bags, ordinary_bags)]
-    part = [[zlib.crc32(b" ".join(bag)) % 3 == 2 for bag in some] for some in (toxic_bags, ordinary_bags)]
+    bags = [[np.array([number.setdefault(w, len(number)) for w in bag.split()], dtype=np.int32) for bag in some] for some in (toxic_bags, ordinary_bags)]
+    part = [[zlib.crc32(bag) % 3 == 2 for bag in some] for some in (toxic_bags, ordinary_bags)]
     learn = [[b for b, c in zip(bags[k], part[k], strict=True) if not c] or bags[k] for k in (0, 1)]
     check = [[b for b, c in zip(bags[k], part[k], strict=True) if c] or bags[k] for k in (0, 1)]
     count = [np.bincount(np.concatenate([np.empty(0, dtype=np.int32), *learn[k]]), minlength=len(number)) for k in (0, 1)]
@@ -216,13 +216,14 @@ def train(documents: DataFrame, labels: DataFrame, modulus: int = 3, remainder:
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [sorted(windows(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(held, pa.list_(pa.binary()))], ["id", "toxic", "h", "words"])
+            held = [b" ".join(sorted(windows(t))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(held, pa.binary())], ["id", "toxic", "h", "words"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    rows = texts.select(F.col("doc_id").alias("id"), "toxic", "text", F.xxhash64("text").alias("h")).mapInArrow(bags, f"id {id_type}, toxic int, h long, words array<binary>")
-    rows = rows.groupBy("id", "toxic").agg(F.min_by("words", "h").alias("words")).orderBy("id").collect()
-    return fit([r.words for r in rows if r.toxic], [r.words for r in rows if not r.toxic])
+    rows = texts.select(F.col("doc_id").alias("id"), "toxic", "text", F.xxhash64("text").alias("h")).mapInArrow(bags, f"id {id_type}, toxic int, h long, words binary")
+    rows = rows.groupBy("id", "toxic").agg(F.min_by("words", "h").alias("words")).orderBy("id").select("toxic", "words").toArrow()
+    toxic = rows.column("toxic").to_numpy()
+    return fit(*[rows.column("words").filter(pa.array(toxic == k)).to_pylist() for k in (1, 0)])
 
 
 _SCORER: dict[int, Scorer] = {}
