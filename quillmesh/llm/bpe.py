@@ -23,10 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmesh.llm.common import ship
+
 #: The byte-level split pattern and the Unicode white space that it means by \s.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 SPLIT = (
@@ -35,10 +38,10 @@ SPLIT = (
 #: Cuts at white space exactly where SPLIT does; a chunk's pieces don't depend on what is around it.
 CHUNK = " ?[^" + SPACE + "]+|[" + SPACE + "]+(?![^" + SPACE + "])|[" + SPACE + "]+"
 
-#: Distinct chunks that one worker keeps before it starts afresh (about 90 MB), and the characters
+#: Distinct chunks that one worker keeps before it starts afresh (about 50 MB), and the characters
 #: of one batch, whose new chunks come on top.
-CACHE_CHUNKS = 300_000
-BATCH_CHARS = 16_000_000
+CACHE_CHUNKS = 160_000
+BATCH_CHARS = 4_000_000
 
 
 def byte_letters() -> list[str]:
@@ -230,16 +233,16 @@ def _loaded(spec: str) -> PairIndexBPE:
     return _LOADED[key]
 
 
-def _groups(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``limit`` characters, so that memory follows the limit and the longest text."""
+def _groups(sizes: list[int | None], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``limit`` bytes of text, so that memory follows the limit and the longest text."""
     start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
+    for i, n in enumerate(sizes):
+        held += n or 0
         if held >= limit:
             yield start, i + 1
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def bpe_encode_decode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
@@ -248,6 +251,7 @@ def bpe_encode_decode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col
     ``spec`` is the tokenizer file's JSON text (its size doesn't grow with the data; it goes out
     as a broadcast).  ``with_ids`` adds the ids, ``with_text`` the decoded text.
     """
+    ship(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(spec)
     id_type = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
@@ -259,9 +263,9 @@ def bpe_encode_decode(df: DataFrame, spec: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(sent.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in _groups(texts, BATCH_CHARS):
-                places = model.places(texts[lo:hi])
+            column = batch.column(1)
+            for lo, hi in _groups(pc.binary_length(column).to_pylist(), BATCH_CHARS):
+                places = model.places(column.slice(lo, hi - lo).to_pylist())
                 counts = np.array(model.counts, dtype=np.int32)
                 spelled, decoded = model.spelled, model.decoded
                 rows: dict[str, list] = {k: [] for k in arrow}
