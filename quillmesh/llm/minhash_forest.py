@@ -9,9 +9,11 @@ begins with the nearest few.  Regions over ``SPLIT`` nodes are dealt into shares
 of the signature and a hash, so that none is one task; what a share parts, other trees and the exact
 join bring together.
 
-Candidates whose byte sketches say that they are far apart go; the others are confirmed on the
-full sets: first each node with its most similar smaller neighbour, then whatever still connects
-different components.  The nodes of full regions are then joined exactly, whatever their number:
+Each node first meets the smaller neighbour that stands next to it in most trees: at most one pair
+a node, however large its group.  The forest is then read again with the components so found, and
+only neighbours of different components meet.  Candidates whose byte sketches say that they are far
+apart go; the others are confirmed on the full sets.  The nodes of full regions are then joined
+exactly, whatever their number:
 two sets of the similarity share a shingle among the rarest of each, at places that their sizes
 allow.  Only pairs of different components are formed there, so a large group of near copies,
 which the forest has linked already, forms none.
@@ -98,30 +100,36 @@ def _signatures(df: DataFrame) -> DataFrame:
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of nodes that are neighbours in some tree; (a, a) for each node of a full region."""
+    """Distinct (a, b, trees), a < b, of nodes of different roots that are neighbours in some trees.
+
+    ``nodes`` has (node, n, sign, root); sizes that rule the similarity out form no
+    pair.  For each node of a full region there is (a, a) too.
+    """
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = nodes.select("node", "sign", tree.alias("tree"))
+    rows = nodes.select("node", "root", "n", "sign", tree.alias("tree"))
     at = F.col("tree") * (4 * DEPTH) + 1
     rows = rows.select(
-        "node", "tree", F.substring("sign", at, F.lit(4 * ROOT)).alias("root"), F.substring("sign", at + 4 * ROOT, F.lit(4 * (DEPTH - ROOT))).alias("rest")
+        "node", "root", "n", "tree", F.substring("sign", at, F.lit(4 * ROOT)).alias("prefix"), F.substring("sign", at + 4 * ROOT, F.lit(4 * (DEPTH - ROOT))).alias("rest")
     )
-    wide = materialize(rows.groupBy("tree", "root").agg(F.count("*").alias("all")).where(F.col("all") > SPLIT), "wide-regions")
-    rows = rows.join(F.broadcast(wide) if wide.count() <= BROADCAST_REGIONS else wide, ["tree", "root"], "left")
+    wide = materialize(rows.groupBy("tree", "prefix").agg(F.count("*").alias("all")).where(F.col("all") > SPLIT), "wide-regions")
+    rows = rows.join(F.broadcast(wide) if wide.count() <= BROADCAST_REGIONS else wide, ["tree", "prefix"], "left")
     next_values = F.xxhash64(F.substring("rest", F.lit(1), F.lit(8)))
     rows = rows.withColumn("share", F.when(F.col("all").isNotNull(), F.xxhash64(next_values, F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("all") / SPLIT)))))
-    region = Window.partitionBy("tree", "root", "share")
+    region = Window.partitionBy("tree", "prefix", "share")
     order = region.orderBy("rest", "node")
     held = F.coalesce("all", F.count("*").over(region))
-    near = rows.withColumn("region", held).withColumn("near", F.collect_list(F.struct("node", "rest")).over(order.rowsBetween(-WIDE, 0)))
-    near = near.where(F.col("region") > 1)
+    near = rows.withColumn("region", held).withColumn("near", F.collect_list(F.struct("node", "root", "n", "rest")).over(order.rowsBetween(-WIDE, 0)))
+    other = F.filter("near", lambda x: (x["root"] != F.col("root")) | (x["node"] == F.col("node")))
+    near = near.where(F.col("region") > 1).withColumn("near", other)
     full = F.col("region") > REGION
     # The last one of the list is the node itself, and those before it stand nearest.
     take = F.when(full, F.lit(NARROW)).otherwise(F.lit(WIDE)) + 1
-    near = near.select("node", "region", "rest", F.explode(F.slice("near", F.greatest(F.size("near") - take + 1, F.lit(1)), F.lit(WIDE + 1))).alias("x"))
+    near = near.select("node", "n", "region", "rest", F.explode(F.slice("near", F.greatest(F.size("near") - take + 1, F.lit(1)), F.lit(WIDE + 1))).alias("x"))
     near = near.where(full | (F.col("node") != F.col("x.node")))
+    near = near.where(100 * F.least("n", "x.n") >= SIMILARITY * F.greatest("n", "x.n"))
     depth = F.when(~full, F.lit(0)).when(F.col("region") <= CROWD, F.lit(4)).otherwise(F.lit(8))
     near = near.where(F.substring("rest", F.lit(1), depth) == F.substring("x.rest", F.lit(1), depth))
-    return near.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct()
+    return near.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).groupBy("a", "b").agg(F.count("*").alias("trees"))
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -250,18 +258,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = materialize(_signatures(docs), "signatures")
     first = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
     nodes = signed.where("node IS NOT NULL").dropDuplicates(["node"]).select("node", "n", "sign", "sketch")
-    alike = materialize(_alike(_candidates(nodes), nodes), "alike")
-    crowd, alike = alike.where("a = b").select(F.col("a").alias("node")), alike.where("a < b")
 
-    # Each node with its most similar smaller neighbour: a forest of at most one pair per node.
-    best = alike.groupBy("b").agg(F.max_by("a", F.struct("equal", -F.col("a"))).alias("a")).select("a", "b")
-    sure = materialize(_confirmed(best, docs, first), "links")
+    # Each node with one smaller neighbour: a forest of at most one pair per node, whatever its group.
+    met = _candidates(nodes.withColumn("root", F.col("node")))
+    rank = F.when(F.col("a") < F.col("b"), F.struct("trees", F.bitwise_not("a")))
+    met = materialize(met.groupBy("b").agg(F.max_by("a", rank).alias("a"), F.max(F.col("a") == F.col("b")).alias("full")), "met")
+    crowd, best = met.where("full").select(F.col("b").alias("node")), met.where("a IS NOT NULL").select("a", "b")
+    sure = materialize(_confirmed(materialize(_alike(best, nodes), "alike"), docs, first), "links")
     roots = connected_components(sure)
-    # Of the other candidates only those that would connect two components can change the result.
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    open_pairs = alike.join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    open_pairs = open_pairs.join(best, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(materialize(open_pairs, "open"), docs, first), "links")
+    # Of the other neighbours only those that would connect two components can change the result.
+    parted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_pairs = _candidates(parted).where("a < b").join(best, ["a", "b"], "left_anti")
+    more = materialize(_confirmed(materialize(_alike(open_pairs, nodes), "open"), docs, first), "links")
     links = sure
     if more.limit(1).count():
         links = sure.unionAll(more)
