@@ -12,7 +12,8 @@ join bring together.
 Each node first meets the smaller neighbour that stands next to it in most trees: at most one pair
 a node, however large its group.  The forest is then read again with the components so found, and
 only neighbours of different components meet.  Candidates whose byte sketches say that they are far
-apart go; the others are confirmed on the full sets.  The nodes of full regions are then joined
+apart go; the others are confirmed on the full sets, each node's likeliest first and then those that
+still part two components.  The nodes of full regions are then joined
 exactly, whatever their number:
 two sets of the similarity share a shingle among the rarest of each, at places that their sizes
 allow.  Only pairs of different components are formed there, so a large group of near copies,
@@ -247,6 +248,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame
     return shared.where(100 * F.col("shared") >= SIMILARITY * (F.col("both") - F.col("shared"))).select("a", "b").distinct()
 
 
+def _joined_up(pairs: DataFrame, links: DataFrame, roots: DataFrame, docs: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, roots) with all of ``pairs`` (a, b, equal) that are links and change the components.
+
+    Each node's likeliest pair by its sketch is confirmed first; of the others only those that
+    then still part two components are, as no other pair can change the result.
+    """
+    likely = pairs.groupBy("a").agg(F.max_by("b", F.struct("equal", "b")).alias("b"))
+    likely = materialize(likely, "likely")
+    for others in (False, True):
+        if others:
+            ends = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+            left = pairs.join(likely, ["a", "b"], "left_anti").join(ends[0], "a", "left").join(ends[1], "b", "left")
+            chosen = left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+            chosen = materialize(chosen, "parted")
+        else:
+            chosen = likely
+        more = materialize(_confirmed(chosen, docs, first), "links")
+        if more.limit(1).count():
+            links = links.unionAll(more)
+            roots = connected_components(links)
+    return links, roots
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable) and kept.
 
@@ -269,17 +293,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Of the other neighbours only those that would connect two components can change the result.
     parted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_pairs = _candidates(parted).where("a < b").join(best, ["a", "b"], "left_anti")
-    more = materialize(_confirmed(materialize(_alike(open_pairs, nodes), "open"), docs, first), "links")
-    links = sure
-    if more.limit(1).count():
-        links = sure.unionAll(more)
-        roots = connected_components(links)
+    links, roots = _joined_up(materialize(_alike(open_pairs, nodes), "open"), sure, roots, docs, first)
     if crowd.limit(1).count():
         crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         rest = materialize(_alike(_shared_rare(crowd, docs, first), nodes), "alike")
-        rest = materialize(_confirmed(rest, docs, first), "links")
-        if rest.limit(1).count():
-            roots = connected_components(links.unionAll(rest))
+        links, roots = _joined_up(rest, links, roots, docs, first)
     rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     component = rooted.select("node", "root").join(smallest, "root").select("node", "root", "component_id")
