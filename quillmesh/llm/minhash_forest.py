@@ -293,11 +293,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Of the other neighbours only those that would connect two components can change the result.
     parted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_pairs = _candidates(parted).where("a < b").join(best, ["a", "b"], "left_anti")
-    links, roots = _joined_up(materialize(_alike(open_pairs, nodes), "open"), sure, roots, docs, first)
+    open_pairs = materialize(_alike(open_pairs, nodes), "open")
+    links, roots = _joined_up(open_pairs, sure, roots, docs, first)
     if crowd.limit(1).count():
         crowd = crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rest = materialize(_alike(_shared_rare(crowd, docs, first), nodes), "alike")
-        links, roots = _joined_up(rest, links, roots, docs, first)
+        rest = _alike(_shared_rare(crowd, docs, first), nodes).select("a", "b").join(best, ["a", "b"], "left_anti").join(open_pairs, ["a", "b"], "left_anti")
+        rest = materialize(_confirmed(materialize(rest, "alike"), docs, first), "links")
+        if rest.limit(1).count():
+            roots = connected_components(links.unionAll(rest))
     rooted = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     component = rooted.select("node", "root").join(smallest, "root").select("node", "root", "component_id")
