@@ -115,4 +115,7 @@ def test_pipeline(spark):
 def test_every_query_returns_one_row_per_row(spark, name):
     sf = "/root/testdata/sf0.001"
     table = {"op1_site_style_tree": "pages", "op4_rp_forest": "embeddings"}.get(name, "documents")
-    assert queries.QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
+    rows = spark.read.parquet(f"{sf}/{table}.parquet")
+    if name == "mixing_targets":  # a report by source
+        rows = rows.select("source").distinct()
+    assert queries.QUERIES[name](spark, sf).count() == rows.count()
