@@ -9,7 +9,7 @@ import brute
 import numpy as np
 import pytest
 
-from quillmesh.llm import line_dedup, minhash_forest, queries, rp_forest, suffix_dedup
+from quillmesh.llm import components, line_dedup, minhash_forest, queries, rp_forest, suffix_dedup
 from quillmesh.llm.components import connected_components
 from quillmesh.llm.grams import grams, shingle_set, word_hashes
 
@@ -102,6 +102,31 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 250_000])
+@pytest.mark.parametrize("shape", ["chain", "hubs", "random"])
+def test_components_in_rounds_and_at_once(spark, monkeypatch, shape, most):
+    """Star rounds and the driver's arrays agree with brute force, for negative, repeated and self links too."""
+    monkeypatch.setattr(components, "DRIVER_LINKS", most)
+    rng = random.Random(4)
+    names = [rng.randrange(-(2**63), 2**63) for _ in range(200)]
+    links = {"chain": list(zip(names, names[1:])), "hubs": [(names[k % 5], x) for k, x in enumerate(names)], "random": [(rng.choice(names), rng.choice(names)) for _ in range(150)]}[shape]
+    links += [*links[:9], *[(b, a) for a, b in links[:9]], (names[0], names[0])]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    assert got == {k: v for k, v in brute.components(names, links).items() if k in nodes}
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    """Every job leaves plans and generated classes with the driver, however few its rows."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-links", "few links")
+    try:
+        connected_components(links)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) <= 6
+
+
 def test_hashes_follow_the_words():
     a = word_hashes(b"one two\t\nthree  two one ")[2]
     assert len(a) == 5 and a[0] == a[4] and a[1] == a[3] and len(set(a.tolist())) == 3
