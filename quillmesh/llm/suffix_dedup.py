@@ -8,16 +8,24 @@ suffixes that may repeat:
 2. Prefixes.  Suffixes are dealt into groups by their first words.  A prefix has ``PREFIXES[0]``
    words, and more as long as its suffixes are over ``GROUP``; a prefix that has grown to the whole
    window is itself a node with very many suffixes, which are all repeats and need no list.
-   Prefixes below the limit are bundled into parts of about ``PART`` suffixes.
-3. Trees.  In each part the suffixes are sorted by their words; the longest common prefix of
-   neighbours in that order gives the subtree's internal nodes.  Runs of neighbours that share
-   ``WINDOW`` words or more are the leaves below its deep internal nodes; their positions, merged,
-   are the maximal repeated spans.
+   Prefixes below the limit are bundled into parts of about ``PART`` suffixes: those of
+   ``PREFIXES[0]`` words by their least word pair, so that suffixes that follow each other often
+   share a part and travel as one run of words; longer ones, and those of a pair of too many
+   suffixes, each by itself.
+3. Trees.  Suffixes are sorted by their words; the longest common prefix of neighbours in that
+   order gives the tree's internal nodes.  Runs of neighbours that share ``WINDOW`` words or more
+   are the leaves below its deep internal nodes; their positions, merged, are the repeated spans.
+   Every task does so first with the suffixes that it deals out, and of the leaves below one deep
+   node only the first travels on to its part, where the trees of all tasks meet.
 
 A word travels as one byte of its hash; suffixes whose bytes agree are told apart by a 64-bit
 fingerprint of the whole window.  Texts are one node of the input whatever the number of their
 copies: a text with copies repeats as a whole, and copies add nothing to the groups.
 
+Texts are shuffled only where they meet phrases or spans of theirs: a bitmap of the hashes of the
+texts that have some, of ``MOST_BITS`` at most, lets the others pass by.  A bit that is set for
+another text's sake costs a shuffled row and changes no result.
+
 Nulls and edges: null text has no words; a text of fewer than ``WINDOW`` words keeps all;
 overlapping repeats inside one text count, as each starts elsewhere; null and repeated ids are
 rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -30,12 +38,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import drop_materialized, materialize, ship
-from quillmesh.llm.grams import grams, word_hashes
+from quillmesh.llm.grams import grams, mix, word_hashes
 
 WINDOW = 35
 PHRASE = 8
@@ -48,6 +57,12 @@ GROUP = 2_000
 MOST_FULL = 500_000
 #: Suffixes of one part, which a task holds at a time (about 60 bytes each).
 PART = 200_000
+#: Words of a pair, and the suffixes of one pair as a share of PART beyond which it bundles none.
+PAIR, PAIR_SHARE = 2, 8
+#: Bits of the map of texts with phrases or spans: 16 a text, and no more than these (8 MB).
+MOST_BITS = 1 << 26
+#: Bits of one page of the map, as ``bitmap_construct_agg`` makes them.
+PAGE_BITS = 1 << 15
 
 
 def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,19 +97,26 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (t, text, found) to (t, text, places): the places of suffixes below one of the phrases ``found``, as bits."""
+    """Batches of (t, text, found) to (t, text, places, n): the places of suffixes below one of the phrases ``found``, as bits, and their number."""
     for batch in batches:
-        places = []
+        places, n = [], []
         for text, found in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
             at, phrases = _anchors(_hashes(text))
-            places.append(np.packbits(np.isin(_signed(phrases)[at], found.values.to_numpy())).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary())], ["t", "text", "places"])
+            below = np.isin(_signed(phrases)[at], found.values.to_numpy())
+            places.append(np.packbits(below).tobytes())
+            n.append(int(below.sum()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary()), pa.array(n, pa.int64())], ["t", "text", "places", "n"])
 
 
 def _places(raw: bytes) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(np.frombuffer(raw, dtype=np.uint8)))
 
 
+def _pairs(words: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The least word pair of the first PREFIXES[0] words from each place."""
+    return _signed(sliding_window_view(grams(words, PAIR), PREFIXES[0] - PAIR + 1)[place].min(axis=1))
+
+
 class Full:
     """The prefixes over the limit, by length, sorted."""
 
@@ -127,7 +149,7 @@ def _counted(lengths: tuple[int, ...], sent) -> object:
                 if sent is not None:
                     place = place[np.isin(_signed(grams(words, PREFIXES[0]))[place], sent.value)]
                 for n in lengths if len(place) else ():
-                    held[n].append(_signed(grams(words, n))[place])
+                    held[n].append(_pairs(words, place) if n == PAIR else _signed(grams(words, n))[place])
             for n, parts in held.items():
                 if parts:
                     prefix, times = np.unique(np.concatenate(parts), return_counts=True)
@@ -137,10 +159,11 @@ def _counted(lengths: tuple[int, ...], sent) -> object:
 
 
 def _deal(parts: int, sent) -> object:
-    """Batches of (t, text, places) to blobs of suffixes per part, and to spans that repeat for sure."""
+    """Batches of (t, text, places) to blobs of suffixes per part, and to spans that repeat for sure (negative parts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = Full(sent.value)
+        wide = sent.value.get(PAIR, np.empty(0, dtype=np.int64))
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
@@ -149,27 +172,97 @@ def _deal(parts: int, sent) -> object:
                 prefix, length, sure = full.split(words, place)
                 if sure.any():
                     again = place[sure]
-                    cut = np.flatnonzero(np.append(True, again[1:] != again[:-1] + 1))
-                    ends = again[np.append(cut[1:], len(again)) - 1] + WINDOW
-                    spans = [np.full(len(cut), key, dtype=np.int64), again[cut].astype(np.int32), ends.astype(np.int32)]
-                    yield _dealt(np.full(len(cut), -1, dtype=np.int32), *spans, [b""] * len(cut))
+                    yield _for_sure(_merged(np.full(len(again), key, dtype=np.int64), again), parts)
                     prefix, length, place = prefix[~sure], length[~sure], place[~sure]
                 if not len(place):
                     continue
                 letters = np.append((words & np.uint64(255)).astype(np.uint8), np.zeros(WINDOW, dtype=np.uint8))
-                path = sliding_window_view(letters, WINDOW - PREFIXES[0])[place + PREFIXES[0]]
+                path = sliding_window_view(letters, WINDOW)[place]
                 prints = _signed(grams(words, WINDOW))[place]
-                held.append((prefix, length.astype(np.uint8), np.full(len(place), key, dtype=np.int64), place.astype(np.int32), prints, path))
+                pair = _pairs(words, place)
+                alone = (length > PREFIXES[0]) | np.isin(pair, wide)
+                held.append((prefix, length.astype(np.uint8), np.full(len(place), key, dtype=np.int64), place.astype(np.int32), prints, path, pair, alone))
                 n += len(place)
                 if n >= PART:
-                    yield _blobs(held, parts)
+                    yield from _own_tree(held, parts)
                     held, n = [], 0
         if held:
-            yield _blobs(held, parts)
+            yield from _own_tree(held, parts)
 
     return run
 
 
+def _own_tree(held: list[tuple[np.ndarray, ...]], parts: int) -> Iterator[pa.RecordBatch]:
+    """Spans below the deep nodes of the suffixes held, and blobs with one suffix for each of these nodes and all others."""
+    *columns, letters, pair, alone = (np.concatenate(x) for x in zip(*held, strict=True))
+    columns.append(letters[:, PREFIXES[0] :])
+    rows = _suffixes([tuple(columns)])
+    order, common = suffix_order(rows)
+    deep = common >= WINDOW
+    leaf = order[deep | np.append(deep[1:], False)]
+    if len(leaf):
+        yield _for_sure(_merged(rows["t"][leaf], rows["place"][leaf]), parts)
+    left = np.sort(order[~deep])
+    if (one := left[alone[left]]).size:
+        yield _blobs([tuple(x[one] for x in columns)], parts)
+    if (many := left[~alone[left]]).size:
+        yield _runs(rows[many], letters[many], pair[many], parts)
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((np.ascontiguousarray(key).view(np.uint64) >> np.uint64(16)) % np.uint64(parts)).astype(np.int32)
+
+
+def _runs(rows: np.ndarray, letters: np.ndarray, pair: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Blobs of runs per part; suffixes that follow each other in a text and share the part are a run."""
+    part = _part(mix(pair.view(np.uint64)), parts)
+    begins = np.append(True, (part[1:] != part[:-1]) | (rows["t"][1:] != rows["t"][:-1]) | (rows["place"][1:] != rows["place"][:-1] + 1))
+    order = np.argsort(part, kind="stable")
+    own, first = np.unique(part[order], return_index=True)
+    blobs = [pack_runs(rows[x], letters[x], begins[x]) for x in np.split(order, first[1:])]
+    none = np.zeros(len(own), dtype=np.int32)
+    return _dealt(own, none.astype(np.int64), none + 1, none, blobs)
+
+
+def pack_runs(rows: np.ndarray, letters: np.ndarray, begins: np.ndarray) -> bytes:
+    """Runs of suffixes: a suffix that continues one adds its last letter (a byte of its last word's hash) and its fingerprint."""
+    at = np.flatnonzero(begins)
+    pieces = [np.array([len(at), len(rows)], dtype="<i4"), rows["t"][at], rows["place"][at], np.diff(np.append(at, len(rows))).astype("<i4"), rows["print"], letters[at], letters[~begins, -1]]
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in pieces)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_runs(blob: bytes) -> np.ndarray:
+    """SUFFIX rows of :func:`pack_runs`; the prefix is its letters, with length 0."""
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd", asbytes=True)
+    runs, n = np.frombuffer(raw, dtype="<i4", count=2).tolist()
+    offset = 8
+
+    def take(kind: str, count: int) -> np.ndarray:
+        nonlocal offset
+        out = np.frombuffer(raw, dtype=kind, count=count, offset=offset)
+        offset += out.nbytes
+        return out
+
+    t, place, times, prints = take("<i8", runs), take("<i4", runs), take("<i4", runs), take("<i8", n)
+    head, tail = take("u1", runs * WINDOW).reshape(runs, WINDOW), take("u1", n - runs)
+    in_run = np.arange(n) - np.repeat(np.cumsum(times) - times, times)
+    starts = np.cumsum(times + WINDOW - 1) - (times + WINDOW - 1)
+    stream = np.empty(n + runs * (WINDOW - 1), dtype=np.uint8)
+    of_head = starts[:, None] + np.arange(WINDOW)
+    rest = np.ones(len(stream), dtype=bool)
+    rest[of_head] = False
+    stream[of_head], stream[rest] = head, tail
+    letters = sliding_window_view(stream, WINDOW)[np.repeat(starts, times) + in_run]
+    prefix = np.ascontiguousarray(letters[:, : PREFIXES[0]]).view("<i8").ravel()
+    return _suffixes([(prefix, np.zeros(n, dtype=np.uint8), np.repeat(t, times), np.repeat(place, times) + in_run, prints, letters[:, PREFIXES[0] :])])
+
+
+def _for_sure(spans: np.ndarray, parts: int) -> pa.RecordBatch:
+    part = -1 - (np.ascontiguousarray(spans["t"]).view(np.uint64) % np.uint64(parts)).astype(np.int32)
+    return _dealt(part, *(np.ascontiguousarray(spans[x]) for x in SPAN.names), [b""] * len(spans))
+
+
 def _dealt(part: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, blob: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part), pa.array(t), pa.array(lo), pa.array(hi), pa.array(blob, pa.binary())], ["part", "t", "lo", "hi", "blob"])
 
@@ -177,33 +270,49 @@ def _dealt(part: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, blob
 #: One suffix in a blob: key and length of its prefix, text, place, fingerprint, and a byte for each word after PREFIXES[0].
 SUFFIX = np.dtype([("prefix", "<i8"), ("length", "u1"), ("t", "<i8"), ("place", "<i4"), ("print", "<i8"), ("path", f"V{WINDOW - PREFIXES[0]}")])
 
+#: A repeated span: text, first word, end.
+SPAN = np.dtype([("t", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
 
-def _blobs(held: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+
+def _suffixes(held: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     columns = [np.concatenate(x) for x in zip(*held, strict=True)]
     rows = np.empty(len(columns[0]), dtype=SUFFIX)
     for name, column in zip(SUFFIX.names, columns, strict=True):
         rows[name] = np.ascontiguousarray(column).view(SUFFIX[name]).ravel() if name == "path" else column
-    part = (columns[0].view(np.uint64) >> np.uint64(16)) % np.uint64(parts)
+    return rows
+
+
+def _blobs(held: list[tuple[np.ndarray, ...]], parts: int) -> pa.RecordBatch:
+    rows = _suffixes(held)
+    part = _part(rows["prefix"], parts)
     order = np.argsort(part, kind="stable")
     own, first = np.unique(part[order], return_index=True)
     blobs = [x.tobytes() for x in np.split(rows[order], first[1:])]
     none = np.zeros(len(own), dtype=np.int32)
-    return _dealt(own.astype(np.int32), none.astype(np.int64), none, none, blobs)
+    return _dealt(own, none.astype(np.int64), none, none, blobs)
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated spans below the deep nodes of each part; the blobs come sorted by part."""
-    held: list[bytes] = []
+    """Repeated spans below the deep nodes of each part, and those for sure; the rows come sorted by part."""
+    held: list[np.ndarray] = []
     of = None
     for batch in batches:
-        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        parts, sure = batch.column(0), batch.filter(pc.less(batch.column(0), 0))
+        if len(sure):
+            spans = np.empty(len(sure), dtype=SPAN)
+            for k, name in enumerate(SPAN.names, 1):
+                spans[name] = sure.column(k).to_numpy()
+            yield _told(spans)
+        for part, in_runs, blob in zip(parts.to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
+            if part < 0:
+                continue
             if part != of and held:
-                yield _spans(np.frombuffer(b"".join(held), dtype=SUFFIX))
+                yield _spans(np.concatenate(held))
                 held = []
             of = part
-            held.append(blob)
+            held.append(unpack_runs(blob.as_py()) if in_runs else np.frombuffer(blob.as_py(), dtype=SUFFIX))
     if held:
-        yield _spans(np.frombuffer(b"".join(held), dtype=SUFFIX))
+        yield _spans(np.concatenate(held))
 
 
 def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,18 +334,29 @@ def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.where(same, common, 0)]) if len(rows) else np.empty(0, dtype=np.int64)
 
 
+def _merged(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The words that windows at these places cover, as SPAN rows; places in a row are one span."""
+    by = np.lexsort((place, text))
+    text, place = text[by], place[by]
+    begins = np.append(True, (text[1:] != text[:-1]) | (place[1:] > place[:-1] + 1)) if len(text) else np.empty(0, dtype=bool)
+    spans = np.empty(int(begins.sum()), dtype=SPAN)
+    spans["t"], spans["lo"] = text[begins], place[begins]
+    spans["hi"] = place[np.append(begins[1:], True)] + WINDOW if len(text) else 0
+    return spans
+
+
+def _told(spans: np.ndarray) -> pa.RecordBatch:
+    """(t, span) with the pair (lo, hi) as one number."""
+    pairs = (spans["lo"].astype(np.int64) << 32) | spans["hi"]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(spans["t"])), pa.array(pairs)], ["t", "span"])
+
+
 def _spans(rows: np.ndarray) -> pa.RecordBatch:
-    """Maximal runs of positions under the internal nodes of depth WINDOW or more."""
+    """Spans of positions under the internal nodes of depth WINDOW or more."""
     order, common = suffix_order(rows)
     deep = common >= WINDOW
-    leaf = deep | np.append(deep[1:], False)
-    text, place = rows["t"][order][leaf], rows["place"][order][leaf]
-    by = np.lexsort((place, text))
-    text, place = text[by], place[by]
-    begins = np.append(True, (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1)) if len(text) else np.empty(0, dtype=bool)
-    ends = np.append(begins[1:], True) if len(text) else begins
-    columns = [pa.array(text[begins]), pa.array(place[begins].astype(np.int32)), pa.array((place[ends] + WINDOW).astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["t", "lo", "hi"])
+    leaf = order[deep | np.append(deep[1:], False)]
+    return _told(_merged(rows["t"][leaf], rows["place"][leaf]))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +368,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows > 1 and len(words) >= WINDOW:
                 removed[0] = 1
             elif spans.is_valid:
-                inner = spans.values
-                np.add.at(removed, inner.field("lo").to_numpy(), 1)
-                np.add.at(removed, inner.field("hi").to_numpy(), -1)
+                pairs = spans.values.to_numpy()
+                np.add.at(removed, pairs >> 32, 1)
+                np.add.at(removed, pairs & 0xFFFFFFFF, -1)
             if removed.any():
                 keep = np.cumsum(removed[:-1]) <= 0
                 kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
@@ -271,31 +391,51 @@ def _cut_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_prefixes(texts: DataFrame) -> tuple[int, dict[int, np.ndarray]]:
-    """Number of candidate suffixes of (t, text, places), and the prefixes of each length over the group limit."""
+    """Number of candidate suffixes of (t, text, places, n), and the prefixes of each length over the group limit.
+
+    Under ``PAIR`` are the word pairs of too many suffixes.
+    """
     spark = texts.sparkSession
-    kind = "length int, prefix long, n long"
-    first = materialize(texts.mapInArrow(_counted(PREFIXES[:1], None), kind).groupBy("length", "prefix").agg(F.sum("n").alias("n")), "prefixes")
-    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     limit = max(GROUP, -(-total // MOST_FULL))
 
-    def over(counts: DataFrame) -> dict[int, np.ndarray]:
+    def over(lengths: tuple[int, ...], sent) -> dict[int, np.ndarray]:
+        counts = texts.select("t", "text", "places").mapInArrow(_counted(lengths, sent), "length int, prefix long, n long").groupBy("length", "prefix").agg(F.sum("n").alias("n"))
         # At most total / limit <= MOST_FULL of each length.
-        table = counts.where(F.col("n") > limit).select("length", "prefix").toArrow()
-        lengths, prefixes = table.column(0).to_numpy(), table.column(1).to_numpy()
-        return {n: np.sort(prefixes[lengths == n]) for n in set(lengths.tolist())}
-
-    full = over(first)
-    drop_materialized(first)
-    if full:
-        sent = spark.sparkContext.broadcast(full[PREFIXES[0]])
-        full |= over(texts.mapInArrow(_counted(PREFIXES[1:], sent), kind).groupBy("length", "prefix").agg(F.sum("n").alias("n")))
+        most = F.when(F.col("length") == PAIR, max(limit, PART // PAIR_SHARE)).otherwise(limit)
+        table = counts.where(F.col("n") > most).select("length", "prefix").toArrow()
+        of, prefixes = table.column(0).to_numpy(), table.column(1).to_numpy()
+        return {n: np.sort(prefixes[of == n]) for n in set(of.tolist())}
+
+    full = over((PAIR, PREFIXES[0]), None)
+    if PREFIXES[0] in full:
+        full |= over(PREFIXES[1:], spark.sparkContext.broadcast(full[PREFIXES[0]]))
     return total, full
 
 
-def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
-    """(t, spans) of the texts that share windows with other texts or within themselves.
+def may_have(docs: DataFrame, keys: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with ``may``: true for every row whose columns ``names`` (nulls alike) are a row of ``keys``, and for few others.
+
+    The map is a bit for the low bits of each key's hash, in pages that are broadcast.
+    """
+    bits = PAGE_BITS
+    for_each = 16 * keys.count()
+    while bits < min(for_each, MOST_BITS):
+        bits *= 2
+    slot = F.xxhash64(*names).bitwiseAND(bits - 1)
+    on_page, page = slot.bitwiseAND(PAGE_BITS - 1), F.shiftright(slot, PAGE_BITS.bit_length() - 1)
+    pages = keys.select(page.alias("page"), on_page.alias("bit")).repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    told = docs.withColumn("page", page).withColumn("bit", on_page).join(F.broadcast(pages), "page", "left")
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, F.col("bit").bitwiseAND(7).cast("int")) == 1, F.lit(False))
+    return told.withColumn("may", may).select(*docs.columns, "may")
+
+
+def repeated_spans(docs: DataFrame, copies: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(t, span) of the texts that share windows with other texts or within themselves, a row for each span.
 
     ``docs`` has id, t (hash of the text) and text; ``copies`` has t and the id of one row with it.
+    The second result are the tables that the first reads.
     """
     spark = docs.sparkSession
     anchors = docs.where("text IS NOT NULL").select("t", "text").mapInArrow(_find_anchors, "t long, phrase long, runs int")
@@ -303,20 +443,15 @@ def repeated_spans(docs: DataFrame, copies: DataFrame) -> DataFrame:
     phrases = anchors.groupBy("phrase").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.max("runs").alias("most"))
     shared = phrases.where("a <> b OR most > 1").select("phrase")
     wanted = anchors.select("t", "phrase").join(shared, "phrase").groupBy("t").agg(F.collect_set("phrase").alias("found")).join(copies, "t")
-    wanted = wanted.select("found", F.col("t").alias("t2"), F.col("id").alias("id2"))
-    texts = docs.join(wanted, (F.col("t") == F.col("t2")) & F.col("id").eqNullSafe(F.col("id2"))).select("t", "text", "found")
-    texts = materialize(texts.mapInArrow(_mark, "t long, text string, places binary"), "suffix-texts")
+    wanted = materialize(wanted.select("t", "id", "found"), "wanted")
+    near = may_have(docs, wanted, "t", "id").where("may")
+    texts = near.join(wanted.select("found", F.col("t").alias("t2"), F.col("id").alias("id2")), (F.col("t") == F.col("t2")) & F.col("id").eqNullSafe(F.col("id2"))).select("t", "text", "found")
+    texts = materialize(texts.mapInArrow(_mark, "t long, text string, places binary, n long"), "suffix-texts")
+    drop_materialized(wanted)
     total, full = full_prefixes(texts)
     parts = max(1, -(-total // PART))
-    dealt = texts.mapInArrow(_deal(parts, spark.sparkContext.broadcast(full)), "part int, t long, lo int, hi int, blob binary")
-    dealt = materialize(dealt, "suffixes")
-    drop_materialized(texts)
-    groups = dealt.where("part >= 0").select("part", "blob").repartition("part").sortWithinPartitions("part")
-    below = groups.mapInArrow(_trees, "t long, lo int, hi int")
-    spans = below.unionAll(dealt.where("part < 0").select("t", "lo", "hi")).groupBy("t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    spans = materialize(spans, "spans")
-    drop_materialized(dealt)
-    return spans
+    dealt = texts.select("t", "text", "places").mapInArrow(_deal(parts, spark.sparkContext.broadcast(full)), "part int, t long, lo int, hi int, blob binary")
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_trees, "t long, span long"), [texts]
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -324,10 +459,16 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ship(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    copies = materialize(docs.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "copies")
-    spans = repeated_spans(docs, copies.select("t", "id"))
-    told = copies.where("rows > 1").select("t", "rows").join(spans, "t", "full")
-    out = docs.join(told, "t", "left").select("id", "text", F.coalesce("rows", F.lit(1)).alias("rows"), "spans")
+    copies = materialize(docs.where("text IS NOT NULL").groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "copies")
+    spans, read = repeated_spans(docs, copies.select("t", "id"))
+    several = copies.where("rows > 1").select("t", F.lit(None).cast("long").alias("span"), "rows")
+    told = several.unionByName(spans.withColumn("rows", F.lit(1).cast("long"))).groupBy("t").agg(F.max("rows").alias("rows"), F.collect_list("span").alias("spans"))
+    told = materialize(told, "told")
+    drop_materialized(copies, *read)
+    near = may_have(docs, told, "t")
+    met = near.where("may").drop("may").join(told, "t", "left").select("id", "text", F.coalesce("rows", F.lit(1)).alias("rows"), "spans")
+    rest = near.where("NOT may").select("id", "text", F.lit(1).cast("long").alias("rows"), F.lit(None).cast("array<long>").alias("spans"))
+    out = met.unionByName(rest)
     if with_text:
         cut = out.mapInArrow(_cut, f"id {id_type}, n_words long, n_removed long, kept_sha256 string, kept string")
     else:

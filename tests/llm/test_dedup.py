@@ -359,3 +359,54 @@ def test_suffixes_in_order():
 
     assert not sure.any() and common.tolist()[1:] == [shared(x, y) for x, y in zip(at, at[1:])]
     assert sum(c >= suffix_dedup.WINDOW for c in common.tolist()) >= 11
+
+
+def _shuffled(spark, run):
+    """Result of ``run`` and the bytes that its stages shuffled."""
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in (found.apply(k) for k in range(found.size()))}
+
+    before = stages()
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def test_repeated_passages_shuffle_little(spark):
+    """Texts without repeats stay where they are, and suffixes take less room than the texts."""
+    rng = random.Random(3)
+    word = lambda: rng.choice(["stone", "river", "tree", "of", "the"]) + str(rng.randint(0, 2000))
+    lists = [[word() for _ in range(300)] for _ in range(900)]
+    for k in range(300):
+        near = list(lists[k])
+        near[rng.randrange(300)] = word()
+        lists.append(near)
+    rows = [(k, " ".join(x)) for k, x in enumerate(lists)]
+    got, n = _shuffled(spark, lambda: suffix_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sorted(tuple(r) for r in got) == brute.substring_dedup(rows)
+    assert n < 2 * sum(len(x) for _, x in rows)
+
+
+def test_runs_of_suffixes_come_back():
+    hashes = suffix_dedup._hashes(" ".join(f"w{k * k % 91}" for k in range(200)))
+    place = np.flatnonzero(np.random.default_rng(4).random(len(hashes) - suffix_dedup.WINDOW + 1) < 0.8)
+    letters = np.lib.stride_tricks.sliding_window_view((hashes & np.uint64(255)).astype(np.uint8), suffix_dedup.WINDOW)[place]
+    prints = grams(hashes, suffix_dedup.WINDOW)[place].view(np.int64)
+    rows = suffix_dedup._suffixes([(prints, np.zeros(len(place), dtype=np.uint8), np.full(len(place), -7), place.astype(np.int32), prints, letters[:, 8:])])
+    blob = suffix_dedup.pack_runs(rows, letters, np.append(True, np.diff(place) != 1))
+    back = suffix_dedup.unpack_runs(blob)
+    assert all((back[x] == rows[x]).all() for x in ("t", "place", "print", "path"))
+    assert (np.ascontiguousarray(back["prefix"]).view(np.uint8).reshape(-1, 8) == letters[:, :8]).all() and len(blob) < 25 * len(rows)
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 15])
+def test_no_key_is_lost_in_the_map(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_BITS", most)
+    docs = spark.range(40_000).selectExpr("CASE WHEN id > 0 THEN id END AS id", "xxhash64(id) AS t")
+    keys = docs.where("coalesce(id, 0) % 10 = 0")
+    told = {r.id: r.may for r in suffix_dedup.may_have(docs, keys, "t", "id").collect()}
+    assert len(told) == 40_000 and all(told[k or None] for k in range(0, 40_000, 10))
+    assert sum(told.values()) < (4_000 + 4_000 if most > 1 << 15 else 12_000)
